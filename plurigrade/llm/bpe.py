@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,10 @@ from pyspark.sql import functions as F
 
 from plurigrade.llm.common import slices, small_batches, texts_of
 
-#: Fragments that a worker remembers; beyond it forgets all and starts anew, which costs time only.
-MEMO = 400_000
+#: Fragments of a generation that a worker remembers; a full generation becomes the old one, from which what is met again returns.
+MEMO = 250_000
 #: New fragments that are encoded as one text, and such texts handed to the library at once.
-RUN, RUNS = 64, 64
+RUN, RUNS = 256, 64
 _SPACE = b"\t\n\x0b\x0c\r "
 _loaded: dict[str, BytePairCodec] = {}
 
@@ -38,6 +37,38 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def take_ranges(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``pool[start : start + length]`` of each range, one after the other."""
+    ends = np.cumsum(length)
+    return pool[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Memory:
+    """Ids of fragments, side by side in one array that grows."""
+
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.pool, self.used = np.empty(1 << 20, dtype="<u4"), 0
+        self.start, self.length = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int64)
+
+    def add(self, fragments: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = len(self.index), len(fragments)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while n + m > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.length[n : n + m] = lengths
+        self.start[n : n + m] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.index.update(zip(fragments, range(n, n + m), strict=True))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the fragments with these numbers, joined, and how many each has."""
+        n = self.length[at]
+        return take_ranges(self.pool, self.start[at], n), n
+
+
 class BytePairCodec:
     """Encoder and decoder of one byte-level vocabulary file."""
 
@@ -62,55 +93,67 @@ class BytePairCodec:
         for token in tokens.values():
             pair = np.frombuffer(token, dtype=np.uint8)
             self.inside[pair[:-1], pair[1:]] = True
+        self.white = np.zeros(256, dtype=bool)
+        self.white[list(_SPACE)] = True
         self.sticky = {b for b in range(256) if b in _SPACE or self.inside[b, list(_SPACE)].any()}
-        self.fragment = self._fragments()
-        self.memo: dict[bytes, bytes] = {}
-
-    def _fragments(self) -> re.Pattern[bytes]:
-        """White space and what follows it, up to the next forced boundary before white space."""
-        solid = [b for b in range(256) if b not in _SPACE]
-        joins = [b"(?<=\\x%02x)\\x%02x" % (b, s) for b in solid for s in _SPACE if self.inside[b, s]]
-        white = b"".join(b"\\x%02x" % s for s in _SPACE)
-        onward = b"(?:(?:%b)[%b]*[^%b]*)*" % (b"|".join(joins), white, white) if joins else b""
-        return re.compile(b"[%b]*[^%b]+%b|[%b]+" % (white, white, onward, white))
+        self.memory, self.old = Memory(), Memory()
 
-    def fragments(self, text: bytes) -> list[bytes]:
-        return self.fragment.findall(text)
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Places of the certain cuts: before white space after another byte, where the two are a forced boundary."""
+        white = self.white[data]
+        at = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+        return at[~self.inside[data[at - 1], data[at]]]
 
     def _learn(self, missing: list[bytes]) -> None:
-        """Encode new fragments, joined into one text at their certain cuts and told apart by the bytes that the ids stand for."""
+        """Encode new fragments, joined into longer texts at their certain cuts and told apart by the bytes that the ids stand for."""
         joined, alone = [], []
         for f in missing:
             (joined if f[0] in _SPACE and f[-1] not in self.sticky else alone).append(f)
         for i in range(0, len(joined), RUN * RUNS):
-            runs = [joined[j : j + RUN] for j in range(i, min(i + RUN * RUNS, len(joined)), RUN)]
-            for run, e in zip(runs, self.library.encode_batch_fast([b"".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype="<u4")
-                stops = (np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(f) for f in run])) + 1).tolist()
-                self.memo.update((f, ids[a:b].tobytes()) for f, a, b in zip(run, [0, *stops], stops, strict=False))
-        for f, e in zip(alone, self.library.encode_batch_fast([f.decode() for f in alone], add_special_tokens=False), strict=True):
-            self.memo[f] = np.array(e.ids, dtype="<u4").tobytes()
+            part = joined[i : i + RUN * RUNS]
+            coded = self.library.encode_batch_fast([b"".join(part[j : j + RUN]).decode() for j in range(0, len(part), RUN)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in coded])
+            stops = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)))) + 1
+            self.memory.add(part, ids, np.diff(stops, prepend=0))
+        if alone:
+            ids = [e.ids for e in self.library.encode_batch_fast([f.decode() for f in alone], add_special_tokens=False)]
+            self.memory.add(alone, np.array([i for x in ids for i in x], dtype="<u4"), np.array([len(x) for x in ids]))
+
+    def _known(self, fragments: list[bytes]) -> np.ndarray:
+        """The numbers of the fragments in memory, where those not met before come from the library."""
+        if len(self.memory.index) > MEMO:
+            self.old, self.memory = self.memory, Memory()
+        missing = [f for f in fragments if f not in self.memory.index]
+        before = self.old.index
+        again = [f for f in missing if f in before]
+        if again:
+            self.memory.add(again, *self.old.take(np.array([before[f] for f in again])))
+        if len(again) < len(missing):
+            self._learn([f for f in missing if f not in before])
+        return np.fromiter(map(self.memory.index.__getitem__, fragments), dtype=np.int64, count=len(fragments))
+
+    def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and the places where each text's begin and the last one's end."""
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        if not len(data):
+            return np.empty(0, dtype="<u4"), np.zeros(len(texts) + 1, dtype=np.int64)
+        # Fragments of all texts at once; texts begin anew, and empty ones have none.
+        edges = np.sort(np.concatenate([self.cuts(data), bounds]), kind="stable")
+        edges = edges[np.concatenate([[True], edges[1:] != edges[:-1]])]
+        split = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        at = self._known(split.dictionary.to_pylist())[split.indices.to_numpy()]
+        ids, n = self.memory.take(at)
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(edges, bounds)]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        parts = [self.fragments(t) for t in texts]
-        memo = self.memo
-        missing = {f for p in parts for f in p if f not in memo}
-        if missing:
-            if memo and len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = {f for p in parts for f in p}
-            self._learn(sorted(missing))
-        return [np.frombuffer(b"".join(map(memo.__getitem__, p)), dtype="<u4") for p in parts]
+        ids, at = self.encode_flat(texts)
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for, special tokens kept."""
-        n = self.length[ids]
-        ends = np.cumsum(n)
-        if len(ids) == 0:
-            return b""
-        source = np.repeat(self.start[ids] - (ends - n), n)
-        return self.bytes[source + np.arange(ends[-1])].tobytes()
+        return take_ranges(self.bytes, self.start[ids], self.length[ids]).tobytes()
 
 
 def codec(path: str) -> BytePairCodec:
@@ -120,16 +163,14 @@ def codec(path: str) -> BytePairCodec:
     return _loaded[path]
 
 
-def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    values = np.concatenate(ids) if ids else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32), pa.int32()))
+def id_lists(ids: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(own.encode(texts_of(batch.column(1))))], ["key", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(*own.encode_flat(texts_of(batch.column(1))))], ["key", "ids"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plurigrade.llm.bpe import codec
+from plurigrade.llm.bpe import codec, take_ranges
 from plurigrade.llm.common import slices, small_batches, texts_of
 
 #: Ids after which a shard is closed; a longer document makes a longer shard.
@@ -44,32 +44,35 @@ def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
     s = ids.astype(np.int64)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    after = terminals
-    for _ in range(ROUNDS):
+    after, never, slots = terminals, np.int32(2**31 - 1), 1 << 20
+    for turn in range(ROUNDS):
         if len(s) < 2 * LEAST:
             break
         key = (s[:-1] << 32) | s[1:]
-        slot = ((key.astype(np.uint64) * _HASH) >> np.uint64(44)).astype(np.int32)
-        often = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= LEAST)
-        pairs, inverse, count = np.unique(key[often], return_inverse=True, return_counts=True)
-        rank_of = np.empty(len(pairs), dtype=np.int32)
-        rank_of[np.lexsort((pairs, -count))] = np.arange(len(pairs), dtype=np.int32)
-        never = np.int32(2**31 - 1)
+        # Pairs are counted in a hash table in which each slot holds one of its pairs; the others wait for a round with another hash.
+        slot = ((key.view(np.uint64) * (_HASH + np.uint64(2 * turn))) >> np.uint64(44)).astype(np.int32)
+        holder = np.empty(slots, dtype=np.int64)
+        holder[slot[::-1]] = key[::-1]
+        count = np.bincount(slot[holder[slot] == key], minlength=slots)
+        frequent = np.flatnonzero(count >= LEAST)
+        frequent = frequent[np.lexsort((holder[frequent], -count[frequent]))]
+        rank_of = np.full(slots, never, dtype=np.int32)
+        rank_of[frequent] = np.arange(len(frequent), dtype=np.int32)
         rank = np.full(len(s) + 1, never, dtype=np.int32)
-        rank[often + 1] = np.where(count[inverse] >= LEAST, rank_of[inverse], never)
-        mine = rank[1:]
-        chosen = np.flatnonzero((mine < rank[:-1]) & (mine <= np.append(rank[2:], never)) & (mine < never))
-        used = np.bincount(mine[chosen], minlength=len(pairs))
+        mine = rank[1:-1]
+        mine[:] = np.where(holder[slot] == key, rank_of[slot], never)
+        chosen = np.flatnonzero((mine < rank[:-2]) & (mine <= rank[2:]))
+        used = np.bincount(mine[chosen], minlength=len(frequent))
         chosen = chosen[used[mine[chosen]] >= LEAST]
         if len(chosen) * WORTH < len(s):
             break
-        ranks = np.flatnonzero(used >= LEAST)
-        by_rank = np.argsort(rank_of, kind="stable")[ranks]
-        name = np.zeros(len(pairs), dtype=np.int64)
-        name[ranks] = after + np.arange(len(ranks))
-        left.append(pairs[by_rank] >> 32)
-        right.append(pairs[by_rank] & 0xFFFFFFFF)
-        after += len(ranks)
+        ruled = np.flatnonzero(used >= LEAST)
+        name = np.zeros(len(frequent), dtype=np.int64)
+        name[ruled] = after + np.arange(len(ruled))
+        pairs = holder[frequent[ruled]]
+        left.append(pairs >> 32)
+        right.append(pairs & 0xFFFFFFFF)
+        after += len(ruled)
         s[chosen] = name[mine[chosen]]
         keep = np.ones(len(s), dtype=bool)
         keep[chosen + 1] = False
@@ -89,19 +92,14 @@ def expanded_lengths(left: np.ndarray, right: np.ndarray, terminals: int) -> np.
 
 
 def expand(symbols: np.ndarray, rules: dict[str, np.ndarray], terminals: int) -> np.ndarray:
-    """The ids that the symbols stand for: each pass opens every nonterminal once."""
-    s = symbols.astype(np.int64)
-    left, right = rules["left"].astype(np.int64), rules["right"].astype(np.int64)
-    while True:
-        inner = s >= terminals
-        if not inner.any():
-            return s
-        place = np.cumsum(inner) - inner + np.arange(len(s))
-        out = np.empty(len(s) + int(inner.sum()), dtype=np.int64)
-        rule = s[inner] - terminals
-        out[place[~inner]] = s[~inner]
-        out[place[inner]], out[place[inner] + 1] = left[rule], right[rule]
-        s = out
+    """The ids that the symbols stand for: each rule is opened once, and the symbols gather their ids from these."""
+    opened: list[list[int]] = []
+    for a, b in zip(rules["left"].tolist(), rules["right"].tolist(), strict=True):
+        opened.append((opened[a - terminals] if a >= terminals else [a]) + (opened[b - terminals] if b >= terminals else [b]))
+    size = np.concatenate([np.ones(terminals, dtype=np.int64), rules["expands"].astype(np.int64)])
+    start = np.cumsum(size) - size
+    pool = np.concatenate([np.arange(terminals), np.array([i for x in opened for i in x], dtype=np.int64)]).astype(np.uint32)
+    return take_ranges(pool, start[symbols], size[symbols])
 
 
 def pack(grammar: dict[str, np.ndarray], lengths: np.ndarray, terminals: int) -> bytes:
