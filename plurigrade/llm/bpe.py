@@ -2,8 +2,8 @@
 
 A byte pair that occurs inside no vocabulary token can never end up within one token, so a text may be cut between
 its two bytes: the merges on either side do not see each other.  Cuts are made where such a pair is a byte that is
-no white space followed by white space, because there the library's own pattern also ends a piece whatever the
-context.  The fragments are encoded independently, each distinct one once per worker, and their ids concatenated.
+no white space followed by white space, or a letter followed by a mark, because there the library's own pattern also ends
+a piece whatever the context.  The fragments are encoded independently, each distinct one once per worker, and their ids concatenated.
 
 Null text is the empty text and gives no ids.  Repeated rows give repeated results.  Only the id and text columns are
 read, so other columns may have any names.
@@ -27,6 +27,9 @@ MEMO = 250_000
 #: New fragments that are encoded as one text, and such texts handed to the library at once.
 RUN, RUNS = 256, 64
 _SPACE = b"\t\n\x0b\x0c\r "
+_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: ASCII marks but the apostrophe, which may begin a piece that goes on with letters.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _loaded: dict[str, BytePairCodec] = {}
 
 
@@ -93,16 +96,16 @@ class BytePairCodec:
         for token in tokens.values():
             pair = np.frombuffer(token, dtype=np.uint8)
             self.inside[pair[:-1], pair[1:]] = True
-        self.white = np.zeros(256, dtype=bool)
-        self.white[list(_SPACE)] = True
+        white, letter, mark = (np.isin(np.arange(256), list(x)) for x in (_SPACE, _LETTERS, _MARKS))
+        self.opens = (~self.inside & ((~white[:, None] & white[None, :]) | (letter[:, None] & mark[None, :]))).ravel()
         self.sticky = {b for b in range(256) if b in _SPACE or self.inside[b, list(_SPACE)].any()}
         self.memory, self.old = Memory(), Memory()
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
-        """Places of the certain cuts: before white space after another byte, where the two are a forced boundary."""
-        white = self.white[data]
-        at = np.flatnonzero(white[1:] & ~white[:-1]) + 1
-        return at[~self.inside[data[at - 1], data[at]]]
+        """Places of the certain cuts: between the two bytes of a forced boundary that also ends a piece in any context."""
+        pair = data[:-1].astype(np.uint16) << 8
+        pair |= data[1:]
+        return np.flatnonzero(self.opens[pair]) + 1
 
     def _learn(self, missing: list[bytes]) -> None:
         """Encode new fragments, joined into longer texts at their certain cuts and told apart by the bytes that the ids stand for."""
@@ -142,7 +145,9 @@ class BytePairCodec:
         edges = np.sort(np.concatenate([self.cuts(data), bounds]), kind="stable")
         edges = edges[np.concatenate([[True], edges[1:] != edges[:-1]])]
         split = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
-        at = self._known(split.dictionary.to_pylist())[split.indices.to_numpy()]
+        _, offsets, content = split.dictionary.buffers()
+        whole, to = content.to_pybytes(), np.frombuffer(offsets, dtype=np.int64, count=len(split.dictionary) + 1).tolist()
+        at = self._known([whole[a:b] for a, b in zip(to[:-1], to[1:], strict=True)])[split.indices.to_numpy()]
         ids, n = self.memory.take(at)
         return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(edges, bounds)]
 

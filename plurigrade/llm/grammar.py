@@ -30,6 +30,8 @@ from plurigrade.llm.common import slices, small_batches, texts_of
 SHARD_IDS = 1 << 20
 #: A pair is replaced in a round if it stands at least so often; rounds end when one shortens by less than a part in so many.
 LEAST, WORTH, ROUNDS = 8, 50, 24
+#: Slots of the table that counts pairs, as a power of two: it should fit a core's cache.
+SLOT_BITS = 18
 _MAGIC = b"RPG1"
 _LAYOUT = (("left", "<u4"), ("right", "<u4"), ("expands", "<u4"), ("sequence", "<u4"), ("lengths", "<u4"))
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -44,13 +46,14 @@ def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
     s = ids.astype(np.int64)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    after, never, slots = terminals, np.int32(2**31 - 1), 1 << 20
+    after, never = terminals, np.int32(2**31 - 1)
+    slots = 1 << SLOT_BITS
     for turn in range(ROUNDS):
         if len(s) < 2 * LEAST:
             break
         key = (s[:-1] << 32) | s[1:]
         # Pairs are counted in a hash table in which each slot holds one of its pairs; the others wait for a round with another hash.
-        slot = ((key.view(np.uint64) * (_HASH + np.uint64(2 * turn))) >> np.uint64(44)).astype(np.int32)
+        slot = ((key.view(np.uint64) * (_HASH + np.uint64(2 * turn))) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
         holder = np.empty(slots, dtype=np.int64)
         holder[slot[::-1]] = key[::-1]
         count = np.bincount(slot[holder[slot] == key], minlength=slots)
