@@ -65,6 +65,14 @@ def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
         mine = rank[1:-1]
         mine[:] = np.where(holder[slot] == key, rank_of[slot], never)
         chosen = np.flatnonzero((mine < rank[:-2]) & (mine <= rank[2:]))
+        # In a run of one symbol every other pair is taken, from the first of the run on if that is.
+        again = np.flatnonzero((mine[1:] == mine[:-1]) & (mine[1:] < never)) + 1
+        if len(again):
+            run = np.maximum.accumulate(np.where(np.diff(again, prepend=-2) > 1, again - 1, 0))
+            taken = np.zeros(len(mine), dtype=bool)
+            taken[chosen] = True
+            taken[again[((again - run) % 2 == 0) & taken[run] & (mine[again] <= rank[2:][again])]] = True
+            chosen = np.flatnonzero(taken)
         used = np.bincount(mine[chosen], minlength=len(frequent))
         chosen = chosen[used[mine[chosen]] >= LEAST]
         if len(chosen) * WORTH < len(s):
