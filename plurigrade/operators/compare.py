@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plurigrade.sources.shared import running
+
 NUMBERS = ("score", "relative", "preknn_score")
 LABELS = ("potency", "preknn_potency")
 
@@ -69,19 +71,10 @@ def only_in(a: DataFrame, b: DataFrame, key: str = "cell_id") -> DataFrame:
 
 
 def average_ranks(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``df`` with ``r_<column>``, the ascending average rank.
-
-    Ranks come from the counts of distinct values: a cumulative sum over one row per value, range-partitioned.
-    """
+    """``df`` with ``r_<column>``, the ascending average rank, from a running total over one row per distinct value."""
     for c in columns:
-        counts = df.groupBy(c).agg(F.count("*").alias("n"))
-        parts = counts.repartitionByRange(c).withColumn("part", F.spark_partition_id())
-        # The cumulative sum runs inside range partitions; the partitions' totals are few.
-        totals = parts.groupBy("part").agg(F.sum("n").alias("t"))
-        before = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
-        inner = parts.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy(c)))
-        ranks = inner.join(before, "part").select(c, (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias(f"r_{c}"))
-        df = df.join(ranks, c)
+        counts = running(df.groupBy(c).agg(F.count("*").alias("n")), [c], F.col("n"))
+        df = df.join(counts.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r_{c}")), c)
     return df
 
 

@@ -60,4 +60,5 @@ def coverage(names: DataFrame, features: DataFrame) -> DataFrame:
 def feature_list(expr: DataFrame) -> DataFrame:
     """``feature, feature_idx``: the features in order of name, numbered from 0."""
     names = expr.select("feature").distinct()
+    # One row per feature name, whatever the number of cells, so one task may number them.
     return names.select("feature", (F.row_number().over(Window.orderBy("feature")) - 1).cast("int").alias("feature_idx"))

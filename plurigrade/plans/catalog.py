@@ -12,6 +12,7 @@ from plurigrade.operators import binning, compare, diffusion, ensemble, mapping,
 from plurigrade.operators import features as dispersed
 from plurigrade.plans import fixtures, oracle, potency
 from plurigrade.sources import matrix, sinks
+from plurigrade.sources.shared import running
 
 #: Places that results are rounded to, since sums run in any order.
 PLACES = 6
@@ -208,11 +209,7 @@ def seeded_permutation(spark: SparkSession, sf: str) -> DataFrame:
 def array_split_chunks(spark: SparkSession, sf: str) -> DataFrame:
     orders = fixtures.table(spark, sf, "orders").select(F.col("o_orderkey").alias("cell_id"))
     n = orders.count()
-    from pyspark.sql import Window
-
-    # Places by a running number over keys are only needed for the fixture.
-    placed = orders.select("cell_id", (F.row_number().over(Window.orderBy("cell_id")) - 1).alias("pos"))
-    return placed.select("cell_id", partition.chunk_of(F.col("pos"), n, 7).alias("chunk"))
+    return running(orders, ["cell_id"], name="pos").select("cell_id", partition.chunk_of(F.col("pos"), n, 7).alias("chunk"))
 
 
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurigrade.functions.scalars import category_label
 from plurigrade.operators import binning, diffusion, ensemble, features, mapping, neighbours, normalise, partition
 from plurigrade.settings import CATEGORIES, Settings
+from plurigrade.sources.shared import running
 from plurigrade.sources.sinks import Stages
 
 
@@ -29,8 +30,7 @@ def score(expr: DataFrame, feature: DataFrame, model: dict[str, DataFrame], sets
     if not (bare := normalise.without_total(ids, sparse)).isEmpty():
         raise ValueError(f"cell {bare.first()[0]!r} has no expression")
     n = ids.count()
-    cells = ids.withColumn("cell_idx", partition_index(ids))
-    cells = partition.batched(cells, n, settings.batch_size, settings.seed, settings.least_for_batches)
+    cells = partition.batched(running(ids, ["cell_id"], name="cell_idx"), n, settings.batch_size, settings.seed, settings.least_for_batches)
     cells = stages.keep("cells", cells.select("cell_id", "cell_idx", "batch"))
     normal = stages.keep("normalised", normalise.normalised(sparse, n_features))
     predicted = stages.keep("predicted", ensemble.predictions(normal, model["geneset"], model["background"], model["head"], model["weight"], n_features, sets))
@@ -43,20 +43,12 @@ def score(expr: DataFrame, feature: DataFrame, model: dict[str, DataFrame], sets
     return final.select("cell_idx", "cell_id", "score", category_label(F.col("score")).alias("potency"), "relative", F.col("binned").alias("preknn_score"), named(F.col("category")).alias("preknn_potency"))
 
 
-def partition_index(ids: DataFrame) -> F.Column:
-    """Places of the cells in order of id."""
-    from pyspark.sql import Window
-
-    return (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("long")
-
-
 def _batch(cells: DataFrame, size: int, normal: DataFrame, predicted: DataFrame, feature: DataFrame, n_features: int, settings: Settings) -> DataFrame:
     own = normal.join(cells.select("cell_id"), "cell_id")
     top = features.top_dispersed(features.dispersion(own, feature, size), min(settings.top_features, n_features))
     width = min(settings.top_features, n_features)
     order = partition.permutation(cells.sparkSession, size, settings.seed).select(F.col("cell_idx").alias("at_batch"), "pos")
-    from pyspark.sql import Window
-
+    # A batch has a bounded number of cells, so one task may number them.
     placed = cells.withColumn("at_batch", (F.row_number().over(Window.orderBy("cell_idx")) - 1).cast("long")).join(order, "at_batch")
     chunks = 1 if settings.smooth_batch_size > size else -(-size // settings.smooth_batch_size)
     chunked = placed.withColumn("chunk", partition.chunk_of(F.col("pos"), size, chunks))
