@@ -73,6 +73,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
+def _crc_table() -> str:
+    """The 256 values of the reflected CRC-32 polynomial, as an SQL list."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return f"CAST({out} AS BIGINT[])"
+
+
+def _op1(shards: int = 8) -> str:
+    loads = f"CAST({[0] * shards} AS BIGINT[])"
+    return f"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, CAST(strlen(COALESCE(text, '')) + 1 AS BIGINT) AS size, hex(encode(COALESCE(text, ''))) AS x FROM documents
+), c AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(size - 1), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, ({_crc_table()})[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM h
+), r AS (
+  SELECT *, CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), 'null:' || text_crc32)), 1, 8) AS BIGINT) % {sharding.SLOTS} AS virtual_slot FROM c
+), sizes AS (
+  SELECT v.range AS virtual_slot, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS bytes, COUNT(size) AS n FROM range({sharding.SLOTS}) v LEFT JOIN r ON r.virtual_slot = v.range GROUP BY 1
+), line AS MATERIALIZED (
+  SELECT *, virtual_slot % {shards} AS home, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS k, CAST(ceil(SUM(bytes) OVER () / CAST({shards} AS DOUBLE)) AS BIGINT) AS share FROM sizes
+), fold AS (
+  SELECT CAST(0 AS BIGINT) AS k, {loads} AS loads, CAST(-1 AS BIGINT) AS shard
+  UNION ALL
+  SELECT z.k, list_transform(range({shards}), lambda i: z.loads[i + 1] + CASE WHEN i = z.shard THEN z.bytes ELSE 0 END), z.shard
+  FROM (SELECT line.k, line.bytes, fold.loads, CASE WHEN fold.loads[home + 1] + bytes <= share THEN home ELSE list_position(fold.loads, list_min(fold.loads)) - 1 END AS shard FROM fold JOIN line ON line.k = fold.k + 1) z
+), placed AS (
+  SELECT virtual_slot, CAST(shard AS INTEGER) AS shard, SUM(n) OVER (PARTITION BY shard ORDER BY virtual_slot) - n AS before FROM line JOIN fold USING (k)
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(before + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32, size) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, virtual_slot, 1 AS map_version
+FROM r JOIN placed USING (virtual_slot)
+"""
+
+
 _OP3 = """
 WITH p AS (
   SELECT page_id, COALESCE(url, '') AS url, sha256(COALESCE(html, '')) AS digest, CAST(strlen(COALESCE(html, '')) AS BIGINT) AS n FROM pages
@@ -82,7 +120,7 @@ WITH p AS (
 SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to,
-  p.url AS target_uri
+  p.url AS target_uri, p.url AS request_target
 FROM p LEFT JOIN f USING (digest)
 """
 
@@ -147,5 +185,5 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
     import corpus_pipeline
 
-    own = {"op3_warc_transactions": _OP3, "op4_benchmark_decontamination": _OP4, "op10_quality_rules": _op10()}
+    own = {"op1_slot_sharding": _op1(), "op3_warc_transactions": _OP3, "op4_benchmark_decontamination": _OP4, "op10_quality_rules": _op10()}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

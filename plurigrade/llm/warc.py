@@ -13,6 +13,7 @@ id revisit the smallest id, and are responses if no row of their payload has one
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ SALTS = 16
 #: Records of one archive file, and bytes of content that the parser hands on at once.
 RECORDS, CHUNK = 12_000, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "type string, id string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, content_type string, content string"
+RECORD = "type string, id string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, content_type string, content string, payload_bytes long, payload_sha256 string"
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -61,7 +62,7 @@ def records_of(pages: DataFrame, least: int = 100, key: str = "page_id", url: st
     again = F.col("first").isNotNull() & ~F.coalesce(F.col("key") == F.col("first"), F.lit(False))
     own = record_id("capture", F.col("key"), F.col("url"), F.col("digest"), F.col("nth"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
-    about = F.concat(F.lit("page-id: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("\r\nrefers-to-page-id: "), F.when(again, F.col("first").cast("string"))), F.lit("")), F.lit("\r\n"))
+    about = F.concat(F.lit("page-id: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("\r\nrefers-to-page-id: "), F.when(again, F.col("first").cast("string"))), F.lit("")), F.lit("\r\npayload-bytes: "), F.col("n").cast("string"), F.lit("\r\n"))
     rows = rows.select("*", own.alias("id"), again.alias("again"), http.alias("http"), about.alias("about"))
     target, digest = ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     whole = record("response", F.col("id"), [target, digest, ("Content-Type", "application/http; msgtype=response")], F.concat("http", "html"))
@@ -78,7 +79,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, key: str = "page_i
     records_of(pages, least, key, url, html).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def parse(data: bytes) -> Iterator[dict[str, str | None]]:
+def parse(data: bytes) -> Iterator[dict[str, str | int | None]]:
     """The records of one archive; raises if it is damaged."""
     at = 0
     while at < len(data):
@@ -91,9 +92,13 @@ def parse(data: bytes) -> Iterator[dict[str, str | None]]:
         stop = start + int(head["content-length"])
         if data[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"record at byte {at} is cut short")
+        content = data[start:stop]
+        # The body of a response is measured here, so that what follows need not carry it along.
+        body = content[content.find(b"\r\n\r\n") + 4 :] if head.get("warc-type") == "response" else None
         yield {
             "type": head.get("warc-type"), "id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"), "uri": head.get("warc-target-uri"),
-            "date": head.get("warc-date"), "payload_digest": head.get("warc-payload-digest"), "content_type": head.get("content-type"), "content": data[start:stop].decode("utf-8", "replace"),
+            "date": head.get("warc-date"), "payload_digest": head.get("warc-payload-digest"), "content_type": head.get("content-type"), "content": content.decode("utf-8", "replace"),
+            "payload_bytes": None if body is None else len(body), "payload_sha256": None if body is None else hashlib.sha256(body).hexdigest(),
         }
         at = stop + 4
 
@@ -111,8 +116,8 @@ def inflated(data: bytes) -> bytes:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split(" ")[0] for x in RECORD.split(", ")]
-    schema = pa.schema([(n, pa.string()) for n in names])
+    names = [x.split(" ") for x in RECORD.split(", ")]
+    schema = pa.schema([(n, pa.int64() if kind == "long" else pa.string()) for n, kind in names])
     for batch in batches:
         for i in range(batch.num_rows):
             held, n = [], 0
@@ -126,19 +131,20 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives at ``path``: type, id, concurrent_to, refers_to, uri, date, payload_digest, content_type, content."""
+    """The records of all archives at ``path``: type, id, concurrent_to, refers_to, uri, date, payload_digest, content_type, content, and the size and digest of a response's body."""
     small_batches(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, RECORD)
 
 
-def assembled(records: DataFrame) -> DataFrame:
-    """``id, uri, capture, request, metadata``: one nested row for each response or revisit.
+def assembled(records: DataFrame, bodies: bool = True) -> DataFrame:
+    """``id, uri, capture, request, metadata``: one nested row for each response or revisit; its content is null without ``bodies``.
 
     Of several requests or metadata records that name one capture, that with the smallest id is taken.  A capture that
     none names has nulls; records that name no capture are in :func:`orphans`.
     """
-    part = ["id", "type", "date", "payload_digest", "content_type", "content"]
-    captures = records.where(F.col("type").isin("response", "revisit")).select("id", "uri", F.struct(*part[1:]).alias("capture"))
+    part = ["type", "date", "payload_digest", "content_type", "content", "payload_bytes", "payload_sha256"]
+    content = F.col("content") if bodies else F.lit(None).cast("string")
+    captures = records.where(F.col("type").isin("response", "revisit")).withColumn("content", content).select("id", "uri", F.struct(*part).alias("capture"))
 
     def named(kind: str) -> DataFrame:
         mine = records.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
@@ -158,26 +164,22 @@ def warc_field(content: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(content, rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
-def payload(content: Column) -> Column:
-    """The body of an HTTP message."""
-    return F.substring(content, F.instr(content, "\r\n\r\n") + 4, F.length(content))
-
-
 def captures(pages: DataFrame, least: int = 100, key: str = "page_id", url: str = "url", html: str = "html", path: str | None = None) -> DataFrame:
     """The contract's columns, read back from archives written at ``path``, by default in the cluster's shared folder."""
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
     write_warc(pages, path, least, key, url, html)
     kind = pages.schema[key].dataType
-    rows = assembled(read_warc(spark, path))
+    rows = assembled(read_warc(spark, path), bodies=False)
     revisit = F.col("capture.type") == "revisit"
-    about, message = F.col("metadata.content"), F.col("capture.content")
-    stated = F.regexp_extract(message, r"(?m)^Content-Length: (\d+)", 1).cast("long")
+    about = F.col("metadata.content")
+    # A revisit has no body; its metadata tell the size of the one that it revisits.
     return rows.select(
         warc_field(about, "page-id").cast(kind).alias(key),
-        F.when(revisit, stated).otherwise(F.octet_length(payload(message)).cast("long")).alias("payload_bytes"),
-        F.when(revisit, F.replace(F.col("capture.payload_digest"), F.lit("sha256:"), F.lit(""))).otherwise(F.sha2(payload(message), 256)).alias("payload_digest"),
+        F.when(revisit, warc_field(about, "payload-bytes").cast("long")).otherwise(F.col("capture.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.replace(F.col("capture.payload_digest"), F.lit("sha256:"), F.lit(""))).otherwise(F.col("capture.payload_sha256")).alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
         F.when(revisit, warc_field(about, "refers-to-page-id").cast(kind)).alias("refers_to"),
         F.col("uri").alias("target_uri"),
+        F.regexp_extract("request.content", r"^GET (.*) HTTP/1\.1", 1).alias("request_target"),
     )

@@ -71,7 +71,7 @@ def test_captures_read_back(spark, tmp_path):
 
 def test_records_without_partner(spark):
     rows = [("response", "a", None), ("request", "b", "a"), ("request", "c", "a"), ("metadata", "d", "zz"), ("response", "e", None), ("request", "f", None)]
-    full = spark.createDataFrame([(t, i, c, None, "u", "d", "x", "y", "z") for t, i, c in rows], warc.RECORD)
+    full = spark.createDataFrame([(t, i, c, None, "u", "d", "x", "y", "z", 1, "q") for t, i, c in rows], warc.RECORD)
     got = {r.id: (r.request and r.request.id, r.metadata) for r in warc.assembled(full).collect()}
     assert got == {"a": ("b", None), "e": (None, None)}
     assert sorted(r.id for r in warc.orphans(full).collect()) == ["d", "f"]
