@@ -56,14 +56,16 @@ def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
         slot = ((key.view(np.uint64) * (_HASH + np.uint64(2 * turn))) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
         holder = np.empty(slots, dtype=np.int64)
         holder[slot[::-1]] = key[::-1]
-        count = np.bincount(slot[holder[slot] == key], minlength=slots)
+        # Pairs that hold no slot go to one beyond the table.
+        slot = np.where(holder[slot] == key, slot, np.int32(slots))
+        count = np.bincount(slot, minlength=slots + 1)[:slots]
         frequent = np.flatnonzero(count >= LEAST)
         frequent = frequent[np.lexsort((holder[frequent], -count[frequent]))]
-        rank_of = np.full(slots, never, dtype=np.int32)
+        rank_of = np.full(slots + 1, never, dtype=np.int32)
         rank_of[frequent] = np.arange(len(frequent), dtype=np.int32)
         rank = np.full(len(s) + 1, never, dtype=np.int32)
         mine = rank[1:-1]
-        mine[:] = np.where(holder[slot] == key, rank_of[slot], never)
+        np.take(rank_of, slot, out=mine)
         chosen = np.flatnonzero((mine < rank[:-2]) & (mine <= rank[2:]))
         # In a run of one symbol every other pair is taken, from the first of the run on if that is.
         again = np.flatnonzero((mine[1:] == mine[:-1]) & (mine[1:] < never)) + 1
