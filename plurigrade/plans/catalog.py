@@ -12,7 +12,7 @@ from plurigrade.operators import binning, compare, diffusion, ensemble, mapping,
 from plurigrade.operators import features as dispersed
 from plurigrade.plans import fixtures, oracle, potency
 from plurigrade.sources import matrix, sinks
-from plurigrade.sources.shared import running
+from plurigrade.sources.shared import running, settled
 
 #: Places that results are rounded to, since sums run in any order.
 PLACES = 6
@@ -316,8 +316,8 @@ def result_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship_potency(spark: SparkSession, sf: str) -> DataFrame:
     """The whole run: alignment to relative scores."""
-    expr = fixtures.expression(spark, sf)
-    listed = mapping.feature_list(expr)
+    expr = settled(fixtures.expression(spark, sf), "expression")
+    listed = settled(mapping.feature_list(expr), "features")
     return potency.score(expr, listed, fixtures.model(spark, listed), fixtures.SETS)
 
 

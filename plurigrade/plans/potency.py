@@ -26,7 +26,7 @@ def score(expr: DataFrame, feature: DataFrame, model: dict[str, DataFrame], sets
     settings, stages = settings or Settings(), stages or Stages()
     n_features = feature.count()
     sparse = stages.keep("aligned", mapping.aligned(expr, feature))
-    ids = expr.select("cell_id").distinct()
+    ids = stages.keep("ids", expr.select("cell_id").distinct())
     if not (bare := normalise.without_total(ids, sparse)).isEmpty():
         raise ValueError(f"cell {bare.first()[0]!r} has no expression")
     n = ids.count()
@@ -39,6 +39,7 @@ def score(expr: DataFrame, feature: DataFrame, model: dict[str, DataFrame], sets
     for batch, size in sorted(sizes.items()):
         part = _batch(cells.where(F.col("batch") == batch), size, normal, predicted, feature, n_features, settings)
         out = part if out is None else out.unionByName(part)
+    # The least and greatest score are needed before any row is final.
     final = binning.relative(stages.keep("scored", out))
     return final.select("cell_idx", "cell_id", "score", category_label(F.col("score")).alias("potency"), "relative", F.col("binned").alias("preknn_score"), named(F.col("category")).alias("preknn_potency"))
 

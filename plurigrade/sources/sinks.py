@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plurigrade.functions.scalars import number_text
+from plurigrade.sources.shared import settled
 
 HEADER = ("", "score", "potency", "relative", "preknn_score", "preknn_potency")
 
@@ -31,7 +32,7 @@ def write_results(results: DataFrame, path: str, single: bool = False, header: t
 
 
 class Stages:
-    """Named stage tables, written as Parquet if a folder is given, and how long each took."""
+    """Named stage tables, written as Parquet into a folder of the user's or else the shared one, and how long each took."""
 
     def __init__(self, folder: str | None = None) -> None:
         self.folder, self.seconds = folder, {}
@@ -45,10 +46,10 @@ class Stages:
             self.seconds[name] = self.seconds.get(name, 0.0) + time.monotonic() - began
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """The table, read back from its stage file if stages are kept."""
-        if not self.folder:
-            return df
+        """The table, read back from its stage file, or from the shared folder if no stages are kept: later stages read it more than once."""
         with self.timed(name):
+            if not self.folder:
+                return settled(df, name)
             df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
