@@ -6,6 +6,8 @@ single steps define what the kernel computes and serve small inputs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,8 @@ from plurigrade.settings import EDGES
 PLACES = 9
 #: Greatest residual of an eigenpair relative to the largest eigenvalue.
 RESIDUAL = 1e-10
+#: Entries of a batch's dense matrix up to which one task takes it: 400 MB.  Rows that a kernel makes dense at once.
+DENSE_ENTRIES, BLOCK = 50_000_000, 256
 
 
 def pair_distances(rows: DataFrame) -> DataFrame:
@@ -126,18 +130,90 @@ def knn_smoothed(rows: DataFrame, k: int) -> DataFrame:
     return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
+def _scaled_block(frame: pd.DataFrame, width: int) -> np.ndarray:
+    """Dense rows of sparse ones (``at, lg``), as z-scores."""
+    x = np.zeros((len(frame), width))
+    for row, (at, lg) in enumerate(zip(frame["at"], frame["lg"], strict=True)):
+        x[row, at] = lg
+    x -= x.mean(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x /= x.std(axis=1, keepdims=True)
+    if not np.isfinite(x).all():
+        raise ValueError("a row is constant or not finite")
+    return x
+
+
+def _summed(rows: DataFrame, width: int, partial) -> np.ndarray:
+    """The sum over all rows of ``partial(block)``, an array of one shape, from one partial sum per partition."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for frame in frames:
+            for a in range(0, len(frame), BLOCK):
+                part = partial(_scaled_block(frame.iloc[a : a + BLOCK], width))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"data": [total.astype("<f8").tobytes()]})
+
+    out = 0.0
+    for r in rows.mapInPandas(run, "data binary").toLocalIterator():
+        out = out + np.frombuffer(r["data"], dtype="<f8")
+    return out
+
+
+def principal_axes(rows: DataFrame, width: int, components: int, seed: int = 14, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column means, the leading axes (features by components) and eigenvalues, without the rows ever meeting in one place.
+
+    A block Lanczos process with full reorthogonalisation: each step is one pass over the rows of ``rows(cell_id, at, lg)``
+    and brings back features by block size.  It ends when all wanted pairs have small residuals, and fails if they never do.
+    """
+    n = rows.count()
+    k = min(components, n - 1, width)
+    block = min(width, k + 10)
+    mean = _summed(rows, width, lambda x: x.sum(axis=0)) / n
+    basis = np.linalg.qr(np.random.RandomState(seed).standard_normal((width, block)))[0]
+    applied, last = np.empty((width, 0)), basis
+    for _ in range(steps):
+        applied = np.hstack([applied, _summed(rows, width, lambda x, q=last: (x - mean).T @ ((x - mean) @ q)).reshape(width, -1)])
+        small = basis.T @ applied
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+        residual = np.linalg.norm(applied @ vectors - (basis @ vectors) * values, axis=0)
+        if residual.max() <= RESIDUAL * max(values[0], 1e-300) or basis.shape[1] == width:
+            return mean, basis @ vectors, np.maximum(values, 0.0)
+        last = applied[:, -last.shape[1] :]
+        for _ in range(2):
+            last = last - basis @ (basis.T @ last)
+        q, r = np.linalg.qr(last)
+        last = q[:, np.abs(np.diag(r)) > 1e-12 * max(values[0], 1e-300)][:, : width - basis.shape[1]]
+        if last.shape[1] == 0:
+            return mean, basis @ vectors, np.maximum(values, 0.0)
+        basis = np.hstack([basis, last])
+    raise ArithmeticError("eigenpairs have not converged")
+
+
+def embedded_at_large(rows: DataFrame, width: int, components: int, seed: int = 14) -> DataFrame:
+    """``cell_id, x`` as :func:`embedded` gives them but for signs and small errors, for batches whose dense matrix is too large for a task."""
+    mean, axes, _ = principal_axes(rows, width, components, seed)
+    shared = rows.sparkSession.sparkContext.broadcast((mean, axes))
+    kind = rows.schema["cell_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mean, axes = shared.value
+        for frame in frames:
+            for a in range(0, len(frame), BLOCK):
+                part = frame.iloc[a : a + BLOCK]
+                yield pd.DataFrame({"cell_id": part["cell_id"].to_numpy(), "x": list((_scaled_block(part, width) - mean) @ axes)})
+
+    return rows.mapInPandas(run, f"cell_id {kind}, x array<double>")
+
+
 def embedded(rows: DataFrame, width: int, components: int) -> DataFrame:
     """``batch, cell_id, x``: the principal components of each batch from ``rows(batch, cell_id, at, lg)``, the rows scaled to z-scores."""
     kind = rows.schema["cell_id"].dataType.simpleString()
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cell_id")
-        x = np.zeros((len(frame), width))
-        for row, (at, lg) in enumerate(zip(frame["at"], frame["lg"], strict=True)):
-            x[row, at] = lg
-        x -= x.mean(axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x /= x.std(axis=1, keepdims=True)
-        return pd.DataFrame({"batch": key[0], "cell_id": frame["cell_id"].to_numpy(), "x": list(embedding(x, components))})
+        return pd.DataFrame({"batch": key[0], "cell_id": frame["cell_id"].to_numpy(), "x": list(embedding(_scaled_block(frame, width), components))})
 
     return rows.groupBy("batch").applyInPandas(run, f"batch int, cell_id {kind}, x array<double>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plurigrade.functions.scalars import category_label
 from plurigrade.operators import binning, diffusion, ensemble, features, mapping, neighbours, normalise, partition
 from plurigrade.settings import CATEGORIES, Settings
-from plurigrade.sources.shared import running
+from plurigrade.sources.shared import running, settled
 from plurigrade.sources.sinks import Stages
 
 
@@ -60,6 +60,10 @@ def _batch(cells: DataFrame, size: int, normal: DataFrame, predicted: DataFrame,
     if size < settings.least_for_smoothing:
         return binned.select("cell_idx", "cell_id", "category", "binned", F.col("binned").alias("score"))
     rows = own.groupBy("cell_id").agg(F.collect_list("feature_idx").alias("at"), F.collect_list("lg").alias("lg"))
-    embed = neighbours.embedded(rows.select(F.lit(0).alias("batch"), "cell_id", "at", "lg"), n_features, settings.components)
+    if size * n_features <= neighbours.DENSE_ENTRIES:
+        embed = neighbours.embedded(rows.select(F.lit(0).alias("batch"), "cell_id", "at", "lg"), n_features, settings.components)
+    else:
+        # Every pass of the process reads the rows again, so they are settled first.
+        embed = neighbours.embedded_at_large(settled(rows, "rows"), n_features, settings.components, settings.seed).withColumn("batch", F.lit(0))
     near = neighbours.knn_smoothed(embed.join(binned.select("cell_id", F.col("binned").alias("score")), "cell_id"), settings.neighbours)
     return binned.select("cell_idx", "cell_id", "category", "binned").join(near.select("cell_id", "score"), "cell_id")

@@ -137,6 +137,25 @@ def test_embedding_keeps_distances(n, f):
     assert (e[np.abs(e).argmax(axis=0), np.arange(k)] >= 0).all()
 
 
+def test_axes_of_distributed_rows(spark):
+    r = np.random.RandomState(3)
+    x = r.rand(130, 60) @ np.diag(np.linspace(3, 0.1, 60))
+    x[x < 0.4] = 0
+    rows = spark.createDataFrame([(i, np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, v in enumerate(x)], "cell_id int, at array<int>, lg array<double>").repartition(3)
+    a = {q.cell_id: q.x for q in neighbours.embedded_at_large(rows, 60, 10).collect()}
+    b = {q.cell_id: q.x for q in neighbours.embedded(rows.selectExpr("0 as batch", "*"), 60, 10).collect()}
+    a, b = (np.array([e[i] for i in range(130)]) for e in (a, b))
+    gap = lambda e: ((e[:, None] - e[None]) ** 2).sum(axis=2)
+    assert a.shape == b.shape == (130, 10) and np.allclose(gap(a), gap(b), atol=1e-7)
+
+
+def test_axes_that_do_not_converge_fail(spark):
+    x = np.random.RandomState(3).rand(80, 70)
+    rows = spark.createDataFrame([(i, list(range(70)), v.tolist()) for i, v in enumerate(x)], "cell_id int, at array<int>, lg array<double>")
+    with pytest.raises(ArithmeticError):
+        neighbours.principal_axes(rows, 70, 10, steps=1)
+
+
 def test_embedding_rejects_bad_rows():
     x = np.random.rand(10, 4)
     x[2] = np.nan
