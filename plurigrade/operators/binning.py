@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plurigrade.functions.scalars import category_label, min_max, or_null
 from plurigrade.settings import CATEGORIES
 
+#: Fixed value: what is kept free at either end of an interval.
 MARGIN = 1e-8
 
 

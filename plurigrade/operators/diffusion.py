@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Share of the start, relative change that ends the rounds, most rounds, what is added to row sums.
 RESTART, TOLERANCE, ROUNDS, FLOOR = 0.1, 1e-6, 10_000, 1e-5
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from plurigrade.functions.scalars import first_largest, order_score, softmax
 
 SET = ["model", "layer", "k"]
+#: Fixed value: what is added to variances in the batch norm.
 EPSILON = 1e-5
 #: Entries of the two set matrices up to which the kernel is used: 512 MB of float32.
 KERNEL_ENTRIES = 64_000_000
