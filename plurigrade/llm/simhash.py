@@ -222,12 +222,15 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = apart(both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        # The minima are tables of their own, so that a join with them is broadcast while they are small, and beyond that
+        # split by Spark where the node in the middle of a star has very many links.
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "links")
+        large = stored(apart(both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))), "links")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "links")
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = stored(apart(small), "links")
-        drop_stored(edges)
+        for old in (edges, low, large, least):
+            drop_stored(old)
         edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
