@@ -84,7 +84,7 @@ class WindowSet:
 
 
 def item_windows(items: DataFrame, n: int, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``window array<binary as hex>, item string``: the distinct windows of each item."""
+    """``window array<string>, item string``: the distinct windows of each item."""
     folded = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("item"), F.filter(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "").alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))

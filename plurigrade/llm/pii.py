@@ -256,7 +256,7 @@ def trained() -> Field:
     n, one = len(truth), np.eye(LABELS)
     y = one[truth]
     f = Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), 0.0)
-    # Of nodes whose kind the patterns give, the features tell what such tokens look like.
+    # How many likes of each label a node has.
     alike = np.zeros((n, LABELS))
     np.add.at(alike, g.skip[:, 0], y[g.skip[:, 1]])
     np.add.at(alike, g.skip[:, 1], y[g.skip[:, 0]])
