@@ -4,9 +4,10 @@ Base spans are found by pattern, leftmost and non-overlapping per kind: email, i
 digits, Luhn) and phone (8 to 15 digits); a match that fails its test is dropped.  The nodes of the field are the
 document's tokens with a digit or an at sign.  Neighbouring tokens are joined by chain potentials; tokens that repeat or
 resemble each other (equal when punctuation and case are dropped, or equal to the local part of an address), however far
-apart, are joined by skip potentials, each to the next of its likes.  Nodes inside base spans are held at their kind,
-loopy belief propagation carries their labels along, and a token outside them that ends up with a kind, and has a like of
-that kind, becomes a further span.  Base spans always stay.
+apart, are joined by skip potentials, each to the next of its likes and to the first of them in a base span of each kind.
+Nodes inside base spans are held at their kind, loopy belief propagation carries their labels along until the messages
+settle, and a token outside them that ends up with a kind, and has a like of that kind, becomes a further span.  Base spans
+always stay.
 
 The potentials are trained by pseudo-likelihood on documents that :func:`practice` makes up, so the model depends on no
 corpus and has one size.
@@ -46,8 +47,10 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = re.compile(r"[^a-z0-9]+")
 #: A token is like another by what is left of it only if that has so many characters and digits.
 LIKE_LENGTH, LIKE_DIGITS = 6, 2
-#: Belief that a further span needs, and rounds of message passing with what they keep of the last round.
-BELIEF, ROUNDS, DAMPING = 0.9, 12, 0.3
+#: Belief that a further span needs, what a round of message passing keeps of the last one, and the change of a message that is none.
+BELIEF, DAMPING, SETTLED = 0.9, 0.3, 1e-4
+#: Rounds, beyond one for each node of a document, after which its messages are damped more.
+LEAST_ROUNDS = 100
 
 
 def luhn(digits: str) -> bool:
@@ -118,6 +121,19 @@ class Graph:
     skip: np.ndarray
 
 
+def _skips(likes: dict[str, list[int]], given: list[int]) -> list[tuple[int, int]]:
+    """Edges from each like to the next one, and to the first held one of each label, so that no like is far from what is known."""
+    edges = set()
+    for nodes in likes.values():
+        edges.update(zip(nodes, nodes[1:], strict=False))
+        first: dict[int, int] = {}
+        for i in nodes:
+            if given[i]:
+                first.setdefault(given[i], i)
+        edges.update((min(i, j), max(i, j)) for j in first.values() for i in nodes if not given[i])
+    return sorted(edges)
+
+
 def graph(texts: list[str], bases: list[list[Span]]) -> Graph:
     """One graph of all the documents; ``given`` is the label of nodes inside base spans, else 0.  Edges stay within a document."""
     spans, x, given, chain, skip = [], [], [], [], []
@@ -127,7 +143,7 @@ def graph(texts: list[str], bases: list[list[Span]]) -> Graph:
         by_start = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
         starts = [s[0] for s in by_start]
         reach = np.maximum.accumulate([s[1] for s in by_start]) if by_start else []
-        last: dict[str, int] = {}
+        likes: dict[str, list[int]] = {}
         before = None
         for m in _TOKEN.finditer(text):
             token = m[0]
@@ -149,9 +165,8 @@ def graph(texts: list[str], bases: list[list[Span]]) -> Graph:
                 chain.append((before, node))
             before = node
             for key in like_keys(token):
-                if key in last and last[key] != node:
-                    skip.append((last[key], node))
-                last[key] = node
+                likes.setdefault(key, []).append(node)
+        skip += _skips(likes, given)
     pairs = lambda e: np.array(e, dtype=np.int64).reshape(-1, 2)
     return Graph(spans, np.array(x, dtype=float).reshape(-1, FEATURES), np.array(given, dtype=np.int64), pairs(chain), pairs(skip))
 
@@ -173,21 +188,39 @@ class Field:
         unary[held, g.given[held]] = 50.0
         edges = np.concatenate([g.chain, g.skip])
         if len(edges):
-            same = np.eye(LABELS) * self.skip
-            pair = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(same[None], len(g.skip), 0)])
+            kernels = np.exp(np.stack([self.chain, self.chain.T, np.eye(LABELS) * self.skip]))
+            kind = np.repeat([0, 2, 1, 2], [len(g.chain), len(g.skip)] * 2)
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-            potential = np.concatenate([pair, pair.transpose(0, 2, 1)])
-            back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
-            message = np.zeros((len(source), LABELS))
-            for _ in range(ROUNDS):
-                total = unary.copy()
-                np.add.at(total, target, message)
-                out = (total[source] - message[back])[:, :, None] + potential
-                top = out.max(axis=1, keepdims=True)
-                new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
+            # Held nodes hear nothing, or enough likes would outvote them; the way back of their messages is a row of zeros.
+            heard = ~held[target]
+            number = np.where(heard, np.cumsum(heard) - 1, -1)
+            back = np.roll(number, len(edges))[heard]
+            kind, source, target = kind[heard], source[heard], target[heard]
+            message = np.zeros((len(source) + 1, LABELS))
+            document = np.array([d for d, _, _ in g.spans], dtype=np.int64)
+            # A label can travel through all nodes of a document; messages that still turn in circles after so many rounds are damped more, until they settle too.
+            longest = np.bincount(document) + LEAST_ROUNDS
+            moving, rounds = np.arange(len(source)), 0
+            while len(moving):
+                s, t = source[moving], target[moving]
+                out = unary[s] - message[back[moving]]
+                out = np.exp(out - out.max(axis=1, keepdims=True))
+                new = np.empty_like(out)
+                for k, kernel in enumerate(kernels):
+                    at = kind[moving] == k
+                    new[at] = np.log(out[at] @ kernel)
                 new -= new.max(axis=1, keepdims=True)
-                message = DAMPING * message + (1 - DAMPING) * new
-            np.add.at(unary, target, message)
+                step = ((1 - DAMPING) * 0.5 ** (rounds // longest[document[s]]))[:, None] * (new - message[moving])
+                message[moving] += step
+                for k in range(LABELS):
+                    unary[:, k] += np.bincount(t, step[:, k], n)
+                # Only messages that still change, or leave a node that others changed, are passed on; so no document depends on those it is with.
+                changed = np.abs(step).max(axis=1) >= SETTLED
+                stirred = np.zeros(n, dtype=bool)
+                stirred[t[changed]] = True
+                awake = stirred[source]
+                awake[moving[changed]] = True
+                moving, rounds = np.flatnonzero(awake), rounds + 1
         p = np.exp(unary - unary.max(axis=1, keepdims=True)) if n else np.zeros((0, LABELS))
         return p / p.sum(axis=1, keepdims=True) if n else p
 

@@ -53,6 +53,19 @@ def test_decoys_stay_clean():
     assert pii.spans_of(texts, pii.trained()) == [([], []), ([], [])]
 
 
+@pytest.mark.parametrize("base, like", [("4041894974608795", "4041.8949.7460.8795"), ("bosbt.42@mail8.example.com", "bosbt.42"), ("+1 (988) 555-2485", "555-2485"), ("42.144.35.254", "42-144-35-254")])
+def test_one_base_span_reaches_all_its_likes(base, like):
+    many = " and more of ".join([like] * 150)
+    for text in (f"first {base} then {many} end", f"first {many} then {base} end"):
+        ((held, more),) = pii.spans_of([text], pii.trained())
+        assert len(held) == 1 and {text[a:b] for _, a, b in more} == {like} and len(more) == 150
+
+
+def test_labels_do_not_depend_on_the_batch():
+    texts = pii.practice(40, 5)[0] + ["4041894974608795 " + "4041.8949.7460.8795 12345 a1b2c3 " * 3000]
+    assert pii.spans_of(texts, pii.trained()) == [pii.spans_of([t], pii.trained())[0] for t in texts]
+
+
 def test_pii_query(docs, empty):
     rows = tuples(pii.digest(pii.find(docs)), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
     want = []
