@@ -2,8 +2,9 @@
 
 Base spans are found by pattern, leftmost and non-overlapping per kind: email, ip (parts at most 255), card (16 to 19
 digits, Luhn) and phone (8 to 15 digits); a match that fails its test is dropped.  The nodes of the field are the
-document's tokens with a digit or an at sign.  Neighbouring tokens are joined by chain potentials; tokens that repeat or
-resemble each other (equal when punctuation and case are dropped, or equal to the local part of an address), however far
+document's tokens with a digit or an at sign, and those that are like a base span.  Neighbouring tokens with a digit or an at
+sign are joined by chain potentials; tokens that repeat or resemble each other or a base span (equal when punctuation and
+case are dropped, or equal to the local part of an address; tokens in a row that make up a base span are one), however far
 apart, are joined by skip potentials, each to the next of its likes and to the first of them in a base span of each kind.
 Nodes inside base spans are held at their kind, loopy belief propagation carries their labels along until the messages
 settle, and a token outside them that ends up with a kind, and has a like of that kind, becomes a further span.  Base spans
@@ -20,8 +21,8 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -45,7 +46,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = re.compile(r"[^a-z0-9]+")
-#: A token is like another by what is left of it only if that has so many characters and digits.
+#: A token is like another by what is left of it only if that has so many characters and digits; a base span or its local part needs neither.
 LIKE_LENGTH, LIKE_DIGITS = 6, 2
 #: Belief that a further span needs, what a round of message passing keeps of the last one, and the change of a message that is none.
 BELIEF, DAMPING, SETTLED = 0.9, 0.3, 1e-4
@@ -96,6 +97,20 @@ def like_keys(token: str) -> list[str]:
     return sorted(keys)
 
 
+def base_keys(text: str, span: Span) -> list[str]:
+    """What a base span has in common with its likes: all its characters, the local part of an address, the tails of a phone number."""
+    kind, a, b = span
+    whole = text[a:b]
+    plain = {_PLAIN.sub("", part.lower()) for part in ([whole, whole.split("@")[0]] if kind == "email" else [whole])}
+    if kind == "phone":
+        plain |= {key[i:] for key in plain for i in range(len(key) - TAIL + 1)}
+    return sorted(plain - {""})
+
+
+#: Digits of the longest card, and those that the tail of a phone number needs.
+LONGEST_RUN, TAIL = 19, 7
+
+
 FEATURES = 14
 
 
@@ -134,6 +149,28 @@ def _skips(likes: dict[str, list[int]], given: list[int]) -> list[tuple[int, int
     return sorted(edges)
 
 
+def _units(text: str, wanted: set[str], labelled: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:
+    """The tokens by place; tokens in a row outside base spans that make up a card's or a phone's digits come as one."""
+    begun = {key[:n] for key in wanted if len(key) <= LONGEST_RUN and key.isdigit() for n in range(1, len(key))}
+    if not begun:
+        yield from (m.span() for m in _TOKEN.finditer(text))
+        return
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    i = 0
+    while i < len(tokens):
+        a, b = tokens[i]
+        joined, last, j = _PLAIN.sub("", text[a:b].lower()), i, i
+        if joined in begun and not labelled(a, b):
+            while joined in begun and j + 1 < len(tokens) and not labelled(*tokens[j + 1]):
+                j += 1
+                more = _PLAIN.sub("", text[slice(*tokens[j])].lower())
+                joined += more
+                if more and joined in wanted:
+                    last = j
+        yield a, tokens[last][1]
+        i = last + 1
+
+
 def graph(texts: list[str], bases: list[list[Span]]) -> Graph:
     """One graph of all the documents; ``given`` is the label of nodes inside base spans, else 0.  Edges stay within a document."""
     spans, x, given, chain, skip = [], [], [], [], []
@@ -143,29 +180,48 @@ def graph(texts: list[str], bases: list[list[Span]]) -> Graph:
         by_start = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
         starts = [s[0] for s in by_start]
         reach = np.maximum.accumulate([s[1] for s in by_start]) if by_start else []
-        likes: dict[str, list[int]] = {}
-        before = None
-        for m in _TOKEN.finditer(text):
-            token = m[0]
-            if "@" not in token and not _DIGIT.search(token):
-                before = None
-                continue
-            a, b = m.span()
-            node, i = len(spans), bisect_right(starts, b - 1) - 1
-            label = 0
+        keys = [(k, a, base_keys(text, (k, a, b))) for k, a, b in sorted(base, key=lambda s: s[1])]
+        key_starts = [k[1] for k in keys]
+        wanted = {key for _, _, own in keys for key in own}
+
+        def labelled(a: int, b: int) -> int:
+            i = bisect_right(starts, b - 1) - 1
             while i >= 0 and reach[i] > a:
                 if by_start[i][1] > a:
-                    label = by_start[i][2]
-                    break
+                    return by_start[i][2]
                 i -= 1
+            return 0
+
+        def add(a: int, b: int, label: int, own: Iterable[str]) -> int:
             spans.append((d, a, b))
-            x.append(token_features(token))
+            x.append(token_features(text[a:b]))
             given.append(label)
-            if before is not None:
-                chain.append((before, node))
-            before = node
-            for key in like_keys(token):
-                likes.setdefault(key, []).append(node)
+            for key in own:
+                likes.setdefault(key, []).append(len(spans) - 1)
+            return len(spans) - 1
+
+        likes: dict[str, list[int]] = {}
+        before = None
+        for a, b in _units(text, wanted, labelled):
+            token = text[a:b]
+            plain = {_PLAIN.sub("", token.lower())} & wanted if wanted else set()
+            chained = "@" in token or _DIGIT.search(token)
+            if not chained:
+                before = None
+                if not plain:
+                    continue
+            label, own = labelled(a, b), {*like_keys(token), *plain}
+            # A base span hands its keys to the token it starts in; if that is held at another kind, it is a node itself.
+            for kind, start, more in keys[bisect_left(key_starts, a) : bisect_left(key_starts, b)]:
+                if KINDS.index(kind) + 1 == label:
+                    own.update(more)
+                else:
+                    add(start, b, KINDS.index(kind) + 1, more)
+            node = add(a, b, label, sorted(own))
+            if chained:
+                if before is not None:
+                    chain.append((before, node))
+                before = node
         skip += _skips(likes, given)
     pairs = lambda e: np.array(e, dtype=np.int64).reshape(-1, 2)
     return Graph(spans, np.array(x, dtype=float).reshape(-1, FEATURES), np.array(given, dtype=np.int64), pairs(chain), pairs(skip))

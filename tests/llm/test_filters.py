@@ -61,6 +61,24 @@ def test_one_base_span_reaches_all_its_likes(base, like):
         assert len(held) == 1 and {text[a:b] for _, a, b in more} == {like} and len(more) == 150
 
 
+@pytest.mark.parametrize(
+    "kind, base, like",
+    [
+        ("email", "jane.miller@firm.org", "jane.miller"), ("email", "to:janemiller@firm.org,", "Jane-Miller"), ("email", "o7@firm.org", "o7"), ("email", "jane.miller@1.2.3.4", "jane.miller"),
+        ("card", "4041 8949 7460 8795", "4041.8949.7460.8795"), ("card", "4041894974608795", "4041.8949 7460.8795"), ("phone", "+1-988-555-2485", "(988) 555-2485"), ("phone", "+1 988 555 2485", "(988) 555-2485"),
+    ],
+)
+def test_likes_of_whole_base_spans(kind, base, like):
+    for text in (f"first {base} and then {like} again", f"{like} before {base}"):
+        ((_, more),) = pii.spans_of([text], pii.trained())
+        assert [k for k, _, _ in more] == [kind] and like.strip("(") == text[more[0][1] : more[0][2]]
+
+
+def test_words_are_no_likes_without_their_address():
+    text = "jane.miller met jane.miller at noon, mail bo@firm.org"
+    assert pii.spans_of([text], pii.trained()) == [([("email", text.index("bo@"), len(text))], [])]
+
+
 def test_labels_do_not_depend_on_the_batch():
     texts = pii.practice(40, 5)[0] + ["4041894974608795 " + "4041.8949.7460.8795 12345 a1b2c3 " * 3000]
     assert pii.spans_of(texts, pii.trained()) == [pii.spans_of([t], pii.trained())[0] for t in texts]
