@@ -435,8 +435,8 @@ def _masked(batches: Iterator[pa.RecordBatch], model: Field, column: int) -> Ite
     for batch in slices(batches, column):
         texts = batch.column(column).to_pylist()
         both = spans_of([t or "" for t in texts], model)
-        if any(b for b, _ in both):
-            new = [masked_text(t, b + m) if b else t for t, (b, m) in zip(texts, both, strict=True)]
+        if any(b or m for b, m in both):
+            new = [masked_text(t, b + m) if b or m else t for t, (b, m) in zip(texts, both, strict=True)]
             batch = batch.set_column(column, batch.schema.field(column), pa.array(new, batch.schema.field(column).type))
         yield batch
 

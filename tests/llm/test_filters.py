@@ -103,6 +103,15 @@ def test_masking_keeps_columns_and_clean_texts(docs, empty):
     assert pii.masked(empty).collect() == []
 
 
+def test_masking_takes_further_spans_alone(spark):
+    text = "paid by 4041.8949.7460.8795 and again 4041.8949.7460.8795."
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    assert [r.n_further for r in pii.digest(pii.find(docs.where("doc_id = 1"))).collect()] == [2] and pii.base_spans(text) == []
+    assert {r.doc_id: r.text for r in pii.masked(docs).collect()} == {1: "paid by [CARD] and again [CARD].", 2: None}
+    mixed = spark.createDataFrame([(1, text), (2, "mail a.b1@firm.org")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.text for r in pii.masked(mixed).collect()} == {1: "paid by [CARD] and again [CARD].", 2: "mail [EMAIL]"}
+
+
 @pytest.fixture(scope="module")
 def benchmark(spark):
     items = [(1, "one two three four five six seven eight nine"), (2, "Short item"), (3, None), (4, ""), (5, "été 9 LIVES of cats and dogs here now"), (1, "one two three four five six seven eight nine"), (None, "no id at all")]
