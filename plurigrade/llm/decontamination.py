@@ -4,11 +4,14 @@ Words are runs of ASCII letters (A-Z lower-cased), digits and characters beyond
 words of an item, or all words of an item that has fewer.  Documents' windows are looked up by hash, and each hit is
 verified word by word; what lies inside a verified window is hit.
 
-The set is broadcast only while the windows number at most ``block_windows``; a larger benchmark is taken in blocks of
-that many windows, each block scanned against all documents, and the blocks' hits are united.
-
-A null text has no words; an item without words has no window; repeated items count once per ``item_id``; repeated
-document rows give repeated results.  Only the named columns are read.
+The set is broadcast only while the windows number at most ``block_windows`` and hold at most ``BLOCK_BYTES`` of text; a
+larger benchmark is taken in blocks of that size, each block scanned against all documents, and the blocks' hits are united.
+
+A null text has no words; an item without words has no window; repeated items count once per ``item_id``.  Windows of an
+item whose id is null make words hit like any other, but the item has no name to count: it adds nothing to the items of
+a document, so by itself it makes none contaminated.  Repeated document rows give repeated results, an empty table of
+documents an empty result, and without items nothing is hit.  Texts of any length are scanned whole, cut between rows
+only.  Only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 _WORD = re.compile(rb"[^ ]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
-#: Windows that are broadcast at once, about 1 kB each.
-BLOCK = 200_000
+#: Windows that are broadcast at once, about 1 kB each, and bytes of text in them.
+BLOCK, BLOCK_BYTES = 200_000, 64 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -84,27 +87,29 @@ class WindowSet:
 
 
 def item_windows(items: DataFrame, n: int, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``window array<string>, item string``: the distinct windows of each item."""
+    """``window array<string>, item string``: the distinct windows of each item; ``item`` is null for items without id."""
     folded = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("item"), F.filter(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "").alias("w"))
+    rows = items.select(F.col(key).cast("string").alias("item"), F.filter(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "").alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
     return rows.where(F.size("w") > 0).select("item", "w", F.explode(starts).alias("at")).select(F.slice("w", F.col("at"), n).alias("window"), "item").distinct()
 
 
 def _blocks(items: DataFrame, n: int, block: int, key: str, text: str) -> list[DataFrame]:
-    """The stored windows in blocks of about half of ``block`` and at most ``block``, dealt by hash."""
+    """The stored windows in blocks of about half of what may be broadcast at once, dealt by hash."""
     windows = stored(item_windows(items, n, key, text), "windows")
-    count = windows.count()
-    if count <= block:
+    count, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "window", "item"))), F.lit(0))).first()
+    if count <= block and size <= BLOCK_BYTES:
         return [windows]
-    parts = -(-2 * count // block)
+    parts = max(-(-2 * count // block), -(-2 * size // BLOCK_BYTES))
     return [windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k) for k in range(parts)]
 
 
 def _window_set(block: DataFrame) -> WindowSet:
     held: dict[tuple[bytes, ...], list[str]] = {}
     for r in block.toLocalIterator():
-        held.setdefault(tuple(w.encode() for w in r["window"]), []).append(r["item"])
+        names = held.setdefault(tuple(w.encode() for w in r["window"]), [])
+        if r["item"] is not None:
+            names.append(r["item"])
     return WindowSet({w: sorted(x) for w, x in held.items()})
 
 

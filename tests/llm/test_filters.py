@@ -130,9 +130,9 @@ def plain_hits(docs, items, n=8):
     windows = {}
     for i, t in items:
         w = words(t)
-        if w and i is not None:
+        if w:
             for k in range(max(1, len(w) - n + 1)):
-                windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+                windows.setdefault(tuple(w[k : k + n]), set()).update([] if i is None else [str(i)])
     out = []
     for i, t in docs:
         w, hit, found = words(t), set(), set()
@@ -152,6 +152,16 @@ def test_hits_in_one_block_or_more(leaky, benchmark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [decontamination.BLOCK, 2])
+def test_items_without_id_hit_but_do_not_count(spark, block):
+    words = "alpha beta gamma delta epsilon zeta eta theta"
+    items = spark.createDataFrame([(None, words), (None, "other words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {words} end"), (2, "other words"), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontamination.digest(decontamination.find(docs, items, block_windows=block)).collect()}
+    assert got == {1: (8, 0, False), 2: (2, 0, False), 3: (0, 0, False)}
+    assert {r.doc_id: r.text for r in decontamination.clean(docs, items, block_windows=block).collect()} == {1: "so  end", 2: "", 3: "clean"}
+
+
 @pytest.mark.parametrize("block", [decontamination.BLOCK, 2])
 def test_cleaning_drops_documents_or_spans(leaky, benchmark, block):
     out = decontamination.clean(leaky, benchmark, block_windows=block)
