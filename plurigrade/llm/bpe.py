@@ -3,10 +3,12 @@
 A byte pair that occurs inside no vocabulary token can never end up within one token, so a text may be cut between
 its two bytes: the merges on either side do not see each other.  Cuts are made where such a pair is a byte that is
 no white space followed by white space, or a letter followed by a mark, because there the library's own pattern also ends
-a piece whatever the context.  The fragments are encoded independently, each distinct one once per worker, and their ids concatenated.
+a piece whatever the context; and between two letters, where its pattern takes either side as it would the whole.  The
+fragments are encoded independently, each distinct short one once per worker, and their ids concatenated.
 
-Null text is the empty text and gives no ids.  Repeated rows give repeated results.  Only the id and text columns are
-read, so other columns may have any names.
+Null text is the empty text and gives no ids.  Repeated rows give repeated results, an empty table an empty one.  A very long
+text is encoded whole, its fragments some at a time; a fragment that no cut divides is one call of the library.  Only the id
+and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,13 +25,18 @@ from pyspark.sql import functions as F
 from plurigrade.llm.common import slices, small_batches, texts_of
 
 #: Fragments of a generation that a worker remembers; a full generation becomes the old one, from which what is met again returns.
-MEMO = 250_000
-#: New fragments that are encoded as one text, and such texts handed to the library at once.
-RUN, RUNS = 256, 64
+MEMO = 150_000
+#: Bytes of the longest fragment that is remembered: so a generation has at most about 30 MB.
+LONGEST = 64
+#: New fragments that are encoded as one text, such texts handed to the library at once, and bytes of other fragments handed to it at once.
+RUN, RUNS, ALONE = 256, 64, 1 << 18
+#: Bytes of text whose fragments are told apart at once.
+STEP = 1 << 20
 _SPACE = b"\t\n\x0b\x0c\r "
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: ASCII marks but the apostrophe, which may begin a piece that goes on with letters.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_APOSTROPHE = ord("'")
 _loaded: dict[str, BytePairCodec] = {}
 
 
@@ -97,7 +104,7 @@ class BytePairCodec:
             pair = np.frombuffer(token, dtype=np.uint8)
             self.inside[pair[:-1], pair[1:]] = True
         white, letter, mark = (np.isin(np.arange(256), list(x)) for x in (_SPACE, _LETTERS, _MARKS))
-        self.opens = (~self.inside & ((~white[:, None] & white[None, :]) | (letter[:, None] & mark[None, :]))).ravel()
+        self.opens = (~self.inside & ((~white[:, None] & white[None, :]) | (letter[:, None] & (mark | letter)[None, :]))).ravel()
         self.sticky = {b for b in range(256) if b in _SPACE or self.inside[b, list(_SPACE)].any()}
         self.memory, self.old = Memory(), Memory()
 
@@ -105,22 +112,26 @@ class BytePairCodec:
         """Places of the certain cuts: between the two bytes of a forced boundary that also ends a piece in any context."""
         pair = data[:-1].astype(np.uint16) << 8
         pair |= data[1:]
-        return np.flatnonzero(self.opens[pair]) + 1
+        at = np.flatnonzero(self.opens[pair]) + 1
+        # The letter after an apostrophe may be the first of an ending that the pattern takes as a piece.
+        return at[(at < 2) | (data[at - 2] != _APOSTROPHE)]
 
-    def _learn(self, missing: list[bytes]) -> None:
+    def _learn(self, missing: list[bytes], into: Memory) -> None:
         """Encode new fragments, joined into longer texts at their certain cuts and told apart by the bytes that the ids stand for."""
         joined, alone = [], []
         for f in missing:
-            (joined if f[0] in _SPACE and f[-1] not in self.sticky else alone).append(f)
+            (joined if len(f) <= LONGEST and f[0] in _SPACE and f[-1] not in self.sticky else alone).append(f)
         for i in range(0, len(joined), RUN * RUNS):
             part = joined[i : i + RUN * RUNS]
             coded = self.library.encode_batch_fast([b"".join(part[j : j + RUN]).decode() for j in range(0, len(part), RUN)], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in coded])
             stops = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)))) + 1
-            self.memory.add(part, ids, np.diff(stops, prepend=0))
-        if alone:
-            ids = [e.ids for e in self.library.encode_batch_fast([f.decode() for f in alone], add_special_tokens=False)]
-            self.memory.add(alone, np.array([i for x in ids for i in x], dtype="<u4"), np.array([len(x) for x in ids]))
+            into.add(part, ids, np.diff(stops, prepend=0))
+        sizes = np.cumsum([len(f) for f in alone]) // ALONE
+        for part in np.split(np.arange(len(alone)), np.flatnonzero(np.diff(sizes)) + 1) if alone else ():
+            own = [alone[i] for i in part]
+            ids = [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast([f.decode() for f in own], add_special_tokens=False)]
+            into.add(own, np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def _known(self, fragments: list[bytes]) -> np.ndarray:
         """The numbers of the fragments in memory, where those not met before come from the library."""
@@ -132,24 +143,48 @@ class BytePairCodec:
         if again:
             self.memory.add(again, *self.old.take(np.array([before[f] for f in again])))
         if len(again) < len(missing):
-            self._learn([f for f in missing if f not in before])
+            self._learn([f for f in missing if f not in before], self.memory)
         return np.fromiter(map(self.memory.index.__getitem__, fragments), dtype=np.int64, count=len(fragments))
 
+    def _ids(self, fragments: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct fragments in the order ``at``, joined, and how many each has; long ones are not remembered."""
+        sizes = np.fromiter(map(len, fragments), dtype=np.int64, count=len(fragments))
+        if not len(sizes) or sizes.max() <= LONGEST:
+            number = self._known(fragments)
+            return self.memory.take(number[at])
+        long = np.flatnonzero(sizes > LONGEST)
+        number = np.empty(len(fragments), dtype=np.int64)
+        short = np.flatnonzero(sizes <= LONGEST)
+        number[short] = self._known([fragments[i] for i in short])
+        passing = Memory()
+        self._learn([fragments[i] for i in long], passing)
+        held = len(self.memory.index)
+        number[long] = [held + passing.index[fragments[i]] for i in long]
+        pool = np.concatenate([self.memory.pool[: self.memory.used], passing.pool[: passing.used]])
+        start = np.concatenate([self.memory.start[:held], self.memory.used + passing.start[: len(long)]])
+        length = np.concatenate([self.memory.length[:held], passing.length[: len(long)]])
+        n = length[number[at]]
+        return take_ranges(pool, start[number[at]], n), n
+
     def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and the places where each text's begin and the last one's end."""
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         if not len(data):
             return np.empty(0, dtype="<u4"), np.zeros(len(texts) + 1, dtype=np.int64)
-        # Fragments of all texts at once; texts begin anew, and empty ones have none.
+        # Fragments of all texts together, some bytes at a time; texts begin anew, and empty ones have none.
         edges = np.sort(np.concatenate([self.cuts(data), bounds]), kind="stable")
         edges = edges[np.concatenate([[True], edges[1:] != edges[:-1]])]
+        steps = np.unique(np.append(np.searchsorted(edges, np.arange(0, len(data), STEP)), len(edges) - 1))
+        ids, n = zip(*(self._fragments(data, edges[i : j + 1]) for i, j in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True)), strict=True)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(n))])[np.searchsorted(edges, bounds)]
+
+    def _fragments(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the fragments between the edges, joined, and how many each has."""
         split = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         _, offsets, content = split.dictionary.buffers()
         whole, to = content.to_pybytes(), np.frombuffer(offsets, dtype=np.int64, count=len(split.dictionary) + 1).tolist()
-        at = self._known([whole[a:b] for a, b in zip(to[:-1], to[1:], strict=True)])[split.indices.to_numpy()]
-        ids, n = self.memory.take(at)
-        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(edges, bounds)]
+        return self._ids([whole[a:b] for a, b in zip(to[:-1], to[1:], strict=True)], split.indices.to_numpy())
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""

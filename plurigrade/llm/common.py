@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch sent to Python; long texts make larger batches than this is worth.
@@ -56,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = np.array([len(x) for x in texts_of(batch.column(text))], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         piece = np.cumsum(sizes) // limit
         edges = np.flatnonzero(np.diff(piece)) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
