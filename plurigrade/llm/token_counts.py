@@ -5,15 +5,21 @@ leftmost of equals; popping one merges it and adds its new neighbours.  The coun
 the merges; a character that is no piece counts one for each of its bytes, as byte fallback has it.
 
 Texts are first cut before each word mark that follows another character, where the vocabulary allows no piece to cross,
-and each distinct fragment is merged once per worker.  Null text is empty and has no tokens.  Only the id and text
-columns are read.
+and fragments that are still long between any two characters that no piece has side by side.  Each distinct short fragment
+is merged once per worker.  A model that normalises text, or has pieces of its users, is refused.
+
+Null text is empty and has no tokens.  Repeated rows give repeated results, an empty table an empty one.  A very long text
+is taken whole, its fragments some thousands at a time; one unbroken run that no cut divides needs about 40 bytes a character.
+Only the id and text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +28,77 @@ from pyspark.sql import functions as F
 
 from plurigrade.llm.common import slices, small_batches, texts_of
 
-#: Fragments that a worker remembers; beyond it forgets all and starts anew, which costs time only.
-MEMO = 500_000
+#: Room for the fragments that a worker remembers, in bytes; beyond it forgets all and starts anew, which costs time only.
+MEMO_BYTES = 96 << 20
+#: Characters of the longest fragment that is remembered, and of a text whose fragments are listed at once.
+LONGEST, SEGMENT = 48, 1 << 18
 MARK = "▁"
 _loaded: dict[str, MergeCounter] = {}
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message; four-byte values as they stand."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        head = varint()
+        kind = head & 7
+        if kind == 0:
+            yield head >> 3, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield head >> 3, data[at : at + size]
+        at += size
+
+
+def check_model(data: bytes) -> None:
+    """Raise if a piece model does what the counter does not: it takes merges by rank, text as it stands, a mark before it and for each space, and bytes for unknown characters.
+
+    Fixed values: field numbers and defaults of the public model format.
+    """
+    whole = list(_fields(data))
+    trainer = dict(f for n, x in whole if n == 2 for f in _fields(x))
+    normal = dict(f for n, x in whole if n == 3 for f in _fields(x))
+    kinds = [dict(_fields(x)).get(3, 1) for n, x in whole if n == 1]
+    wrong = {
+        "its merges have no ranks": trainer.get(3, 1) != 2,
+        "it has no bytes for unknown characters": not trainer.get(35, 0),
+        "it marks white space behind words": bool(trainer.get(24, 0)),
+        "it normalises characters": bool(normal.get(2, b"")),
+        "it adds no mark before the text": not normal.get(3, 1),
+        "it drops repeated white space": bool(normal.get(4, 1)),
+        "it does not mark spaces": not normal.get(5, 1),
+        "it has pieces that users defined": 4 in kinds,
+    }
+    if any(wrong.values()):
+        raise ValueError("this piece model cannot be counted: " + ", ".join(k for k, v in wrong.items() if v))
+
+
 class MergeCounter:
     """Counts the tokens that a byte-fallback piece model gives."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        with open(path, "rb") as f:
+            check_model(f.read())
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         special = {i for i in range(model.vocab_size()) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
         pieces = sorted((-model.get_score(i), i, model.id_to_piece(i)) for i in range(model.vocab_size()) if i not in special)
         self.rank = {p: r for r, (_, _, p) in enumerate(pieces)}
-        inside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        self.pieces = [p for _, _, p in pieces]
+        self.inside = inside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         # Line ends and tabs in no longer piece stand alone; a mark after another character begins a fragment if no piece has that.
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in inside))
         if any(p[1] == MARK and p[0] != MARK for p in inside):
@@ -48,58 +108,98 @@ class MergeCounter:
         else:
             self.fragment = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.memo: dict[str, int] = {}
+        self.room = MEMO_BYTES
 
     def merged(self, symbols: str) -> int:
-        """Initial symbols less merges."""
-        rank = self.rank
-        n = len(symbols)
-        weight = [1 if c in rank else len(c.encode()) for c in symbols]
+        """Initial symbols less merges.
+
+        Symbols are numbers in flat arrays: a piece's is its rank, any other character's comes after these.  The heap
+        holds the pairs that merges make; those that stand at the beginning are sorted once and met in order beside it.
+        """
+        rank, pieces = self.rank, self.pieces
+        n, known = len(symbols), len(pieces)
+        others: dict[str, int] = {}
+        own = array("i", (rank[c] if c in rank else others.setdefault(c, known + len(others)) for c in symbols))
+        single = list(others)
+        total = n + sum((len(c.encode()) - 1) * symbols.count(c) for c in single) if len(single) < 8 else sum(1 if c in rank else len(c.encode()) for c in symbols)
         if n < 2:
-            return sum(weight)
-        text: list[str | None] = list(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = []
-        for i in range(n - 1):
-            r = rank.get(symbols[i : i + 2])
-            if r is not None:
-                heap.append((r, i, i + 1, 2))
-        heapify(heap)
-        total = sum(weight)
-        while heap:
-            _, a, b, length = heappop(heap)
-            left, right = text[a], text[b]
-            if left is None or right is None or after[a] != b or len(left) + len(right) != length:
+            return total
+        name = lambda s: pieces[s] if s < known else single[s - known]
+        first = array("q", (r << 32 | i for i in range(n - 1) if (r := rank.get(symbols[i : i + 2])) is not None))
+        if not first:
+            return total
+        np.frombuffer(first, dtype=np.int64).sort()
+        before, after = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+        heap: list[int] = []
+        at, stop = 0, len(first)
+        while heap or at < stop:
+            if at < stop and not (heap and heap[0] < first[at]):
+                entry = first[at]
+                at += 1
+            else:
+                entry = heappop(heap)
+            r, a = entry >> 32, entry & 0xFFFFFFFF
+            left, b = own[a], after[a]
+            # What was merged away is -1; a pair that has changed since has another rank, or is met again in its place.
+            if left < 0 or b >= n:
                 continue
-            whole = left + right
-            total -= weight[a] + weight[b] - 1
-            weight[a], text[a], text[b] = 1, whole, None
+            right = own[b]
+            if rank.get(name(left) + name(right)) != r:
+                continue
+            total -= (1 if left < known else len(name(left).encode())) + (1 if right < known else len(name(right).encode())) - 1
+            own[a], own[b] = r, -1
             after[a] = c = after[b]
-            if c >= 0:
+            whole = pieces[r]
+            if c < n:
                 before[c] = a
-                r = rank.get(whole + text[c])
-                if r is not None:
-                    heappush(heap, (r, a, c, length + len(text[c])))
+                s = rank.get(whole + name(own[c]))
+                if s is not None:
+                    heappush(heap, s << 32 | a)
             p = before[a]
             if p >= 0:
-                r = rank.get(text[p] + whole)
-                if r is not None:
-                    heappush(heap, (r, p, a, length + len(text[p])))
+                s = rank.get(name(own[p]) + whole)
+                if s is not None:
+                    heappush(heap, s << 32 | p)
+        return total
+
+    def apart(self, part: str) -> list[str]:
+        """A long fragment, cut between any two characters that no piece has side by side."""
+        inside = self.inside
+        cuts = [0, *(i for i in range(1, len(part)) if part[i - 1 : i + 1] not in inside), len(part)]
+        return [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _counts(self, parts: list[str]) -> int:
+        """The tokens of the fragments; short ones are remembered."""
+        memo = self.memo
+        try:
+            return sum(map(memo.__getitem__, parts))
+        except KeyError:
+            pass
+        total = 0
+        for p in parts:
+            n = memo.get(p)
+            if n is None:
+                if len(p) > LONGEST:
+                    cut = self.apart(p)
+                    n = self.merged(p) if len(cut) == 1 else sum(self._counts([x]) for x in cut)
+                else:
+                    n = self.merged(p)
+                    size = 4 * len(p) + 150
+                    if self.room < size:
+                        memo.clear()
+                        self.room = MEMO_BYTES
+                    self.room -= size
+                    memo[p] = n
+            total += n
         return total
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        memo = self.memo
-        parts = self.fragment.findall(MARK + text.replace(" ", MARK))
-        missing = [p for p in parts if p not in memo]
-        if missing:
-            if len(memo) + len(missing) > MEMO and memo:
-                memo.clear()
-                missing = parts
-            for p in missing:
-                if p not in memo:
-                    memo[p] = self.merged(p)
-        return sum(map(memo.__getitem__, parts))
+        whole = MARK + text.replace(" ", MARK)
+        if len(whole) <= SEGMENT:
+            return self._counts(self.fragment.findall(whole))
+        return sum(self._counts(list(x)) for x in batched((m[0] for m in self.fragment.finditer(whole)), 4096))
 
 
 def counter(path: str) -> MergeCounter:
