@@ -6,9 +6,12 @@ rules, the length that each nonterminal expands to, the remaining sequence and t
 random access: :func:`read_range` expands only the symbols that overlap the wanted ids.
 
 A shard file is one binary blob, written by Spark as a row of a Parquet table so that any store Spark writes to will do:
-magic ``RPG1``, eight little-endian uint32 counts, then the arrays named in ``_LAYOUT``, then the CRC-32 of all before.
+magic ``RPG2``; twelve little-endian uint32, namely the version, the number of terminals, and the count, then the bits a
+value, of the arrays named in ``_LAYOUT``; those arrays, bit-packed; the CRC-32 of all before.
 
-Null text is empty and holds the end id only.  Repeated rows are laid out one after the other.
+Null text is empty and holds the end id only.  Repeated rows are laid out one after the other, rows without id last.  A
+very long text is one document of a shard that is longer for it.  An empty table makes no shard and reads back empty.
+Ids may be of any type that Spark orders and Arrow holds.  Only the id and text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -22,76 +25,111 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plurigrade.llm.bpe import codec, take_ranges
 from plurigrade.llm.common import slices, small_batches, texts_of
 
 #: Ids after which a shard is closed; a longer document makes a longer shard.
 SHARD_IDS = 1 << 20
-#: A pair is replaced in a round if it stands at least so often; rounds end when one shortens by less than a part in so many.
-LEAST, WORTH, ROUNDS = 8, 50, 24
-#: Slots of the table that counts pairs, as a power of two: it should fit a core's cache.
+#: A pair is replaced if it stands at least so often: rules for rarer pairs take more room than they save.
+LEAST = 8
+#: Most slots of the table that counts pairs, as a power of two: it should fit a core's cache.
 SLOT_BITS = 18
-_MAGIC = b"RPG1"
-_LAYOUT = (("left", "<u4"), ("right", "<u4"), ("expands", "<u4"), ("sequence", "<u4"), ("lengths", "<u4"))
+_MAGIC = b"RPG2"
+_LAYOUT = ("left", "right", "expands", "sequence", "lengths")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
+_NEVER = np.int32(2**31 - 1)
+#: Values that are packed at once; a multiple of eight, so that slabs end at bytes.
+_SLAB = 1 << 16
 
 
 def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
     """Rules (``left``, ``right``, ``expands``) and ``sequence`` of a Re-Pair grammar of the ids.
 
-    Symbols from ``terminals`` on are nonterminals.  A round counts all adjacent pairs, ranks those that stand at least
-    ``LEAST`` times by frequency, and replaces each occurrence that ranks above both overlapping ones.
+    Symbols from ``terminals`` on are nonterminals.  A round counts the adjacent pairs that still may be frequent, ranks
+    those that stand at least ``LEAST`` times by frequency, and replaces each occurrence that ranks above both that it
+    overlaps; rounds end when no pair of the sequence stands so often without overlapping itself.
+
+    A pair of old symbols never gains an occurrence, so once it is known to be rare its places are not looked at again: after
+    the first rounds the work is that of the places that changed.
     """
+    n = len(ids)
     s = ids.astype(np.int64)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    alive = np.ones(n, dtype=bool)
+    rank = np.full(n + 1, _NEVER, dtype=np.int32)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    after, never = terminals, np.int32(2**31 - 1)
-    slots = 1 << SLOT_BITS
-    for turn in range(ROUNDS):
-        if len(s) < 2 * LEAST:
-            break
-        key = (s[:-1] << 32) | s[1:]
+    symbols, turn = terminals, 0
+    at = np.arange(max(0, n - 1), dtype=np.int32)
+    while len(at) >= LEAST:
+        a, to = s[at], after[at]
+        b = s[to]
+        key = (a << 32) | b
         # Pairs are counted in a hash table in which each slot holds one of its pairs; the others wait for a round with another hash.
-        slot = ((key.view(np.uint64) * (_HASH + np.uint64(2 * turn))) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        bits = min(SLOT_BITS, max(4, int(len(at)).bit_length() + 1))
+        slots = 1 << bits
+        slot = ((key.view(np.uint64) * (_HASH + np.uint64(2 * turn))) >> np.uint64(64 - bits)).astype(np.int32)
+        turn += 1
         holder = np.empty(slots, dtype=np.int64)
         holder[slot[::-1]] = key[::-1]
-        # Pairs that hold no slot go to one beyond the table.
-        slot = np.where(holder[slot] == key, slot, np.int32(slots))
-        count = np.bincount(slot, minlength=slots + 1)[:slots]
+        mine = holder[slot] == key
+        # In a run of one symbol every other pair counts, from the run's first on.
+        odd = np.zeros(len(at), dtype=bool)
+        twin = np.flatnonzero(a == b)
+        if len(twin):
+            begins = np.ones(len(twin), dtype=bool)
+            begins[1:] = to[twin[:-1]] != at[twin[1:]]
+            place = np.arange(len(twin))
+            odd[twin] = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 1
+        counted = mine & ~odd
+        count = np.bincount(slot[counted], minlength=slots)
         frequent = np.flatnonzero(count >= LEAST)
         frequent = frequent[np.lexsort((holder[frequent], -count[frequent]))]
-        rank_of = np.full(slots + 1, never, dtype=np.int32)
+        rank_of = np.full(slots, _NEVER, dtype=np.int32)
         rank_of[frequent] = np.arange(len(frequent), dtype=np.int32)
-        rank = np.full(len(s) + 1, never, dtype=np.int32)
-        mine = rank[1:-1]
-        np.take(rank_of, slot, out=mine)
-        chosen = np.flatnonzero((mine < rank[:-2]) & (mine <= rank[2:]))
-        # In a run of one symbol every other pair is taken, from the first of the run on if that is.
-        again = np.flatnonzero((mine[1:] == mine[:-1]) & (mine[1:] < never)) + 1
-        if len(again):
-            run = np.maximum.accumulate(np.where(np.diff(again, prepend=-2) > 1, again - 1, 0))
-            taken = np.zeros(len(mine), dtype=bool)
-            taken[chosen] = True
-            taken[again[((again - run) % 2 == 0) & taken[run] & (mine[again] <= rank[2:][again])]] = True
-            chosen = np.flatnonzero(taken)
-        used = np.bincount(mine[chosen], minlength=len(frequent))
-        chosen = chosen[used[mine[chosen]] >= LEAST]
-        if len(chosen) * WORTH < len(s):
-            break
+        # What holds its slot and is rare is rare for good.
+        ranked = rank_of[slot]
+        going = ~mine | (ranked < _NEVER)
+        live = np.flatnonzero(counted & (ranked < _NEVER))
+        where, own = at[live], ranked[live]
+        rank[where] = own
+        # The first place has no pair before it: index -1 is the last, which never ranks.
+        won = (own < rank[before[where]]) & (own < rank[to[live]])
+        rank[where] = _NEVER
+        used = np.bincount(own[won], minlength=len(frequent))
+        won &= used[own] >= LEAST
         ruled = np.flatnonzero(used >= LEAST)
+        at = at[going]
+        if not len(ruled):
+            continue
         name = np.zeros(len(frequent), dtype=np.int64)
-        name[ruled] = after + np.arange(len(ruled))
+        name[ruled] = symbols + np.arange(len(ruled))
         pairs = holder[frequent[ruled]]
         left.append(pairs >> 32)
         right.append(pairs & 0xFFFFFFFF)
-        after += len(ruled)
-        s[chosen] = name[mine[chosen]]
-        keep = np.ones(len(s), dtype=bool)
-        keep[chosen + 1] = False
-        s = s[keep]
+        symbols += len(ruled)
+        chosen = where[won]
+        gone = after[chosen]
+        s[chosen] = name[own[won]]
+        alive[gone] = False
+        beyond = after[gone]
+        after[chosen] = beyond
+        inner = beyond < n
+        before[beyond[inner]] = chosen[inner]
+        # New pairs begin at what was replaced and just before it.
+        fresh = before[chosen]
+        again = np.zeros(n, dtype=bool)
+        again[at] = True
+        again[chosen] = True
+        again[fresh[fresh >= 0]] = True
+        again &= alive
+        at = np.flatnonzero(again).astype(np.int32)
+        if len(at) and after[at[-1]] >= n:
+            at = at[:-1]
     a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (left, right))
-    return {"left": a, "right": b, "expands": expanded_lengths(a, b, terminals)[terminals:], "sequence": s}
+    return {"left": a, "right": b, "expands": expanded_lengths(a, b, terminals)[terminals:], "sequence": s[alive]}
 
 
 def expanded_lengths(left: np.ndarray, right: np.ndarray, terminals: int) -> np.ndarray:
@@ -115,22 +153,42 @@ def expand(symbols: np.ndarray, rules: dict[str, np.ndarray], terminals: int) ->
     return take_ranges(pool, start[symbols], size[symbols])
 
 
+def packed(values: np.ndarray, width: int) -> bytes:
+    """The values in so many bits each, high bits first."""
+    wide = values.astype(">u4")
+    parts = [np.packbits(np.unpackbits(wide[i : i + _SLAB].view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]) for i in range(0, len(wide), _SLAB)]
+    return b"".join(x.tobytes() for x in parts)
+
+
+def unpacked(data: bytes, at: int, count: int, width: int) -> np.ndarray:
+    """``count`` values of so many bits each, from byte ``at`` on; what :func:`packed` packed."""
+    out = np.empty(count, dtype=np.uint32)
+    raw = np.frombuffer(data, dtype=np.uint8, count=-(-count * width // 8), offset=at)
+    for i in range(0, count, _SLAB):
+        n = min(_SLAB, count - i)
+        bits = np.zeros((n, 32), dtype=np.uint8)
+        bits[:, 32 - width :] = np.unpackbits(raw[i * width // 8 :], count=n * width).reshape(n, width)
+        out[i : i + n] = np.packbits(bits, axis=1).view(">u4").ravel()
+    return out
+
+
 def pack(grammar: dict[str, np.ndarray], lengths: np.ndarray, terminals: int) -> bytes:
+    """A shard file: each array in as many bits a value as its largest needs."""
     parts = {**grammar, "lengths": lengths}
-    head = _MAGIC + struct.pack("<8I", 1, terminals, *(len(parts[k]) for k, _ in _LAYOUT), 0)
-    body = head + b"".join(parts[k].astype(t).tobytes() for k, t in _LAYOUT)
+    widths = [max(1, int(parts[k].max()).bit_length()) if len(parts[k]) else 1 for k in _LAYOUT]
+    body = _MAGIC + struct.pack("<12I", 2, terminals, *(len(parts[k]) for k in _LAYOUT), *widths) + b"".join(packed(parts[k], w) for k, w in zip(_LAYOUT, widths, strict=True))
     return body + struct.pack("<I", zlib.crc32(body))
 
 
 def unpack(blob: bytes) -> tuple[dict[str, np.ndarray], int]:
     """The arrays of a shard file and the number of terminals; raises if it is damaged."""
-    if blob[:4] != _MAGIC or struct.unpack("<I", blob[-4:])[0] != zlib.crc32(blob[:-4]):
+    if blob[:4] != _MAGIC or struct.unpack("<I", blob[-4:])[0] != zlib.crc32(memoryview(blob)[:-4]):
         raise ValueError("damaged shard file")
-    _, terminals, *counts = struct.unpack("<8I", blob[4:36])
-    at, parts = 36, {}
-    for (k, t), n in zip(_LAYOUT, counts, strict=False):
-        parts[k] = np.frombuffer(blob, dtype=t, count=n, offset=at)
-        at += 4 * n
+    _, terminals, *sizes = struct.unpack("<12I", blob[4:52])
+    at, parts = 52, {}
+    for k, n, w in zip(_LAYOUT, sizes[:5], sizes[5:], strict=True):
+        parts[k] = unpacked(blob, at, n, w)
+        at += -(-n * w // 8)
     return parts, terminals
 
 
@@ -178,7 +236,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, ke
     tie = F.xxhash64("value")
     laid = rows.repartitionByRange(F.col("key").asc_nulls_last(), tie).sortWithinPartitions(F.col("key").asc_nulls_last(), tie)
     kind = docs.schema[key].dataType.simpleString()
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    arrow = to_arrow_type(docs.schema[key].dataType)
     laid.mapInArrow(lambda it: _shards(it, tokenizer, end_id, arrow), f"part int, serial int, n_ids long, keys array<{kind}>, blob binary").write.parquet(path)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -38,6 +39,21 @@ def test_ids_and_text_as_the_library(library):
         assert own.decode(g).decode("utf-8", "replace") == library.decode(w.ids, skip_special_tokens=False)
 
 
+def test_unbroken_letters_are_cut_and_long_fragments_not_kept(library, monkeypatch):
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    monkeypatch.setattr(bpe, "STEP", 700)
+    monkeypatch.setattr(bpe, "MEMO", 900)
+    own = bpe.BytePairCodec(PATH)
+    texts = ["".join(r.choices(letters + r.choice(["", "'", "é", "7", " ", "'’"]), k=r.randint(1, 400))) for _ in range(1500)]
+    texts += ["it'" + a + b + c for a in "rvlmtsdx" for b in "elqz" for c in ("", "qx", "é")]
+    for i in range(0, len(texts), 100):
+        part = texts[i : i + 100]
+        for t, g in zip(part, own.encode([t.encode() for t in part]), strict=True):
+            assert g.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert all(len(f) <= bpe.LONGEST for f in own.memory.index)
+
+
 def test_no_token_crosses_a_cut():
     own = bpe.BytePairCodec(PATH)
     text = b"The end, of it.\n\nNext line  here"
@@ -82,6 +98,64 @@ def test_counts_as_the_library(docs, empty):
     assert token_counts.token_counts(empty, MODEL).collect() == []
 
 
+def test_counts_of_unbroken_texts(monkeypatch):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(5)
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 30_000)
+    monkeypatch.setattr(token_counts, "SEGMENT", 150)
+    own = token_counts.MergeCounter(MODEL)
+    for alphabet in ("a", "ab", "etaoin", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "日本語é☃😀x", "the \n\t"):
+        for n in (1, 2, 47, 48, 49, 500, 3000):
+            t = "".join(r.choices(alphabet, k=n))
+            assert own.count(t) == len(model.encode(t)), repr(t)
+
+
+def test_other_piece_models_are_refused():
+    with open(MODEL, "rb") as f:
+        data = f.read()
+    token_counts.check_model(data)
+    # A message of the model format that is met twice is merged, later fields winning: trainer of another kind, dropped spaces, a user's piece.
+    for more in (b"\x12\x02\x18\x01", b"\x1a\x02\x20\x01", b"\x1a\x03\x12\x01x", b"\x0a\x05\x0a\x01q\x18\x04"):
+        with pytest.raises(ValueError):
+            token_counts.check_model(data + more)
+
+
+def plain_counts(s):
+    """How often each pair stands without overlapping itself."""
+    out, last = Counter(), {}
+    for i, p in enumerate(zip(s, s[1:], strict=False)):
+        if last.get(p) != i - 1 or p[0] != p[1]:
+            out[p] += 1
+            last[p] = i
+    return out
+
+
+def test_grammar_ends_when_no_pair_is_frequent():
+    r = np.random.RandomState(9)
+    for ids in (np.full(5000, 7), np.full(15, 7), r.randint(0, 6, 20_000), r.zipf(1.3, 30_000) % 500, np.tile([1, 1, 2], 3000), np.tile(r.randint(0, 99, 37), 400)):
+        g = grammar.compress(ids, 50_257)
+        assert max(plain_counts(g["sequence"].tolist()).values(), default=0) < grammar.LEAST
+
+
+def test_shard_files_are_smaller_than_short_ids():
+    import duckdb
+
+    rows = duckdb.sql("select coalesce(text, '') from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()
+    ids = np.concatenate(bpe.BytePairCodec(PATH).encode([t.encode() for (t,) in rows]))
+    blob = grammar.pack(grammar.compress(ids, 50_257), np.array([len(ids)]), 50_257)
+    assert len(blob) < 0.7 * 2 * len(ids)
+    assert np.array_equal(grammar.read_range(blob, 1000, 2000), ids[1000:2000])
+
+
+def test_packed_values_come_back(monkeypatch):
+    monkeypatch.setattr(grammar, "_SLAB", 64)
+    r = np.random.RandomState(2)
+    for width in (1, 7, 8, 17, 31, 32):
+        for n in (0, 1, 63, 64, 65, 1000):
+            x = r.randint(0, 1 << width, n)
+            assert np.array_equal(grammar.unpacked(b"ab" + grammar.packed(x, width), 2, n, width), x)
+
+
 def test_grammar_round_trip_and_random_access():
     r = np.random.RandomState(4)
     for ids in (np.array([], dtype=np.int64), np.array([5]), np.full(5000, 7), r.randint(0, 6, 20_000), r.randint(0, 50_000, 3000), np.tile(r.randint(0, 99, 37), 400)):
