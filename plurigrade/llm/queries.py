@@ -87,27 +87,39 @@ def _op1(shards: int = 8) -> str:
     loads = f"CAST({[0] * shards} AS BIGINT[])"
     return f"""
 WITH RECURSIVE h AS (
-  SELECT doc_id, CAST(strlen(COALESCE(text, '')) + 1 AS BIGINT) AS size, hex(encode(COALESCE(text, ''))) AS x FROM documents
+  SELECT doc_id, CAST(strlen(COALESCE(text, '')) + 1 AS BIGINT) AS size, md5(COALESCE(text, '')) AS digest, hex(encode(COALESCE(text, ''))) AS x FROM documents
 ), c AS (
-  SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(size - 1), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+  SELECT doc_id, size, digest, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(size - 1), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
     lambda a, b: xor(a >> 8, ({_crc_table()})[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM h
+), u AS (
+  SELECT doc_id, size, digest, text_crc32, COUNT(*) AS copies FROM c GROUP BY ALL
+), cap AS (
+  SELECT CAST(ceil(SUM(size * copies) / CAST({sharding.HOT * shards} AS DOUBLE)) AS BIGINT) AS most FROM u
+), hot AS (
+  SELECT digest, CAST(ceil(SUM(size * copies) * {sharding.HOT} / CAST(MAX(most) AS DOUBLE)) AS BIGINT) AS parts, CAST(GREATEST(floor(MAX(most) / CAST({sharding.FINE} AS DOUBLE) / MAX(size)), 1) AS BIGINT) AS each
+  FROM u, cap GROUP BY digest HAVING SUM(size * copies) > MAX(most)
+), cut AS (
+  SELECT doc_id, size, digest, text_crc32, copies, parts, each, UNNEST(range(COALESCE((copies - 1) // each, 0) + 1)) AS piece FROM u LEFT JOIN hot USING (digest)
+), named AS (
+  SELECT doc_id, size, digest, text_crc32, piece, COALESCE(LEAST(each, copies - piece * each), copies) AS copies, COALESCE(CAST(doc_id AS VARCHAR), 'null') || ':' || piece AS own, parts FROM cut
 ), r AS (
-  SELECT *, CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), 'null:' || text_crc32)), 1, 8) AS BIGINT) % {sharding.SLOTS} AS virtual_slot FROM c
+  SELECT doc_id, size, digest, text_crc32, piece, copies, CAST('0x' || substr(md5(own || ':' || digest), 1, 8) AS BIGINT) % {sharding.LANES} AS lane,
+    CAST('0x' || substr(CASE WHEN parts IS NULL THEN digest ELSE md5(digest || ':' || CAST('0x' || substr(md5(own), 1, 8) AS BIGINT) % parts) END, 1, 8) AS BIGINT) % {sharding.SLOTS} AS virtual_slot FROM named
 ), sizes AS (
-  SELECT v.range AS virtual_slot, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS bytes, COUNT(size) AS n FROM range({sharding.SLOTS}) v LEFT JOIN r ON r.virtual_slot = v.range GROUP BY 1
+  SELECT v.range AS virtual_slot, CAST(COALESCE(SUM(size * copies), 0) AS BIGINT) AS bytes, COALESCE(SUM(copies), 0) AS n FROM range({sharding.SLOTS}) v LEFT JOIN r ON r.virtual_slot = v.range GROUP BY 1
 ), line AS MATERIALIZED (
   SELECT *, virtual_slot % {shards} AS home, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS k, CAST(ceil(SUM(bytes) OVER () / CAST({shards} AS DOUBLE)) AS BIGINT) AS share FROM sizes
 ), fold AS (
   SELECT CAST(0 AS BIGINT) AS k, {loads} AS loads, CAST(-1 AS BIGINT) AS shard
   UNION ALL
   SELECT z.k, list_transform(range({shards}), lambda i: z.loads[i + 1] + CASE WHEN i = z.shard THEN z.bytes ELSE 0 END), z.shard
-  FROM (SELECT line.k, line.bytes, fold.loads, CASE WHEN fold.loads[home + 1] + bytes <= share THEN home ELSE list_position(fold.loads, list_min(fold.loads)) - 1 END AS shard FROM fold JOIN line ON line.k = fold.k + 1) z
+  FROM (SELECT line.k, line.bytes, fold.loads, CASE WHEN bytes = 0 OR fold.loads[home + 1] + bytes <= share THEN home ELSE list_position(fold.loads, list_min(fold.loads)) - 1 END AS shard FROM fold JOIN line ON line.k = fold.k + 1) z
 ), placed AS (
-  SELECT virtual_slot, CAST(shard AS INTEGER) AS shard, SUM(n) OVER (PARTITION BY shard ORDER BY virtual_slot) - n AS before FROM line JOIN fold USING (k)
+  SELECT virtual_slot, CAST(shard AS INTEGER) AS shard, SUM(n) OVER (PARTITION BY shard ORDER BY virtual_slot) - n AS offset_ FROM line JOIN fold USING (k)
+), numbered AS (
+  SELECT *, CAST(offset_ + SUM(copies) OVER (PARTITION BY virtual_slot ORDER BY lane, doc_id NULLS LAST, digest, piece) - copies AS BIGINT) AS before FROM r JOIN placed USING (virtual_slot)
 )
-SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(before + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32, size) - 1 AS BIGINT) AS slot,
-  CAST(NULL AS INTEGER) AS grown_shard, virtual_slot, 1 AS map_version
-FROM r JOIN placed USING (virtual_slot)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, UNNEST(range(before, before + CAST(copies AS BIGINT))) AS slot, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot, 1 AS map_version FROM numbered
 """
 
 
