@@ -2,13 +2,16 @@
 
 A capture is three records: the response (or, for a payload that another response holds, a revisit), its request and
 its metadata; the latter two name the first in ``WARC-Concurrent-To``.  Records are text in UTF-8 that ends in two line
-ends, so Spark's text writer writes the archives wherever Spark can write, gzipped and with a bounded number of records
-a file; files are read whole and parsed by content length.  :func:`assembled` joins the records of a capture through
-the concurrent-to identifiers into one nested row.
+ends, so Spark's text writer writes the archives wherever Spark can write, gzipped, and closes a file after so many records
+as make about ``FILE_BYTES`` on average.  Files are inflated and parsed a piece at a time, each record by its content
+length, and every file is read once.  :func:`assembled` brings the records of a capture together by the concurrent-to
+identifier, one nested row each; where it leaves bodies out, file, offset and length lead back to them (:func:`record_at`).
 
 Null html is an empty payload, null url an empty one.  Payloads shorter than ``least`` bytes never make revisits.  Rows
 that repeat an id with the same payload are all captures: those with the smallest id are all responses.  Rows without
-id revisit the smallest id, and are responses if no row of their payload has one.  Only the named columns are read.
+id revisit the smallest id, and are responses if no row of their payload has one.  Ids are percent-encoded in metadata, so
+they may hold any characters.  No pages make no records.  A very long page is one record, held by one task.  Only the named
+columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -18,17 +21,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plurigrade.llm.common import shared_dir, small_batches
+from plurigrade.llm.common import drop_stored, shared_dir, small_batches, stored
 
 #: Parts that rows of one payload are dealt to.
 SALTS = 16
-#: Records of one archive file, and bytes of content that the parser hands on at once.
-RECORDS, CHUNK = 12_000, 8 << 20
+#: Bytes of content of an archive file, about; most of its records; bytes of content that the parser hands on, and that are inflated, at once.
+FILE_BYTES, RECORDS, CHUNK, PIECE = 64 << 20, 60_000, 8 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "type string, id string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, content_type string, content string, payload_bytes long, payload_sha256 string"
+RECORD = "type string, id string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, content_type string, content string, payload_bytes long, payload_sha256 string, file string, offset long, length long"
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -45,24 +48,37 @@ def record(kind: str, name: Column, fields: list[tuple[str, Column | str]], cont
     return F.concat(*head, F.lit("\r\nContent-Length: "), F.octet_length(content).cast("string"), F.lit("\r\n\r\n"), content)
 
 
-def deduplicated(pages: DataFrame, least: int, key: str, url: str, html: str) -> DataFrame:
-    """``key, url, html, digest, n, first, first_url, nth``: ``first`` is the smallest id of an equal payload, ``nth`` tells repeated rows apart."""
+def _rows(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(key).alias("key"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", " ").alias("url"), body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n"))
-    shared = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url"))).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", F.col("first.key").alias("first"), F.col("first.url").alias("first_url"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return pages.select(F.col(key).alias("key"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", " ").alias("url"), body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n"))
+
+
+def repeated(rows: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """``digest, first, first_url`` of the payloads that stand more than once, stored, and the bytes of an average page."""
+    seen = Observation()
+    narrow = rows.observe(seen, F.count("*").alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).where(F.col("n") >= least)
+    shared = narrow.groupBy("digest").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url"))).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    kept = stored(shared.select("digest", F.col("first.key").alias("first"), F.col("first.url").alias("first_url")), "payloads")
+    return kept, seen.get["bytes"] // max(1, seen.get["pages"])
+
+
+def deduplicated(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``key, url, html, digest, n, first, first_url, nth``: ``first`` is the smallest id of an equal payload, ``nth`` tells repeated rows apart."""
+    spread = shared.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # A row's salt follows from its id, so that copies spread but repeated rows stay together.
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
-    found = dealt.join(shared, ["digest", "salt"], "left")
+    found = dealt.join(spread, ["digest", "salt"], "left")
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("digest", "salt", "key", "url").orderBy("digest")))
 
 
-def records_of(pages: DataFrame, least: int = 100, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``value``: the three records of each page."""
-    rows = deduplicated(pages, least, key, url, html)
+def records_of(found: DataFrame) -> DataFrame:
+    """``value``: the three records of each page of :func:`deduplicated`."""
+    rows = found
     again = F.col("first").isNotNull() & ~F.coalesce(F.col("key") == F.col("first"), F.lit(False))
     own = record_id("capture", F.col("key"), F.col("url"), F.col("digest"), F.col("nth"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
-    about = F.concat(F.lit("page-id: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("\r\nrefers-to-page-id: "), F.when(again, F.col("first").cast("string"))), F.lit("")), F.lit("\r\npayload-bytes: "), F.col("n").cast("string"), F.lit("\r\n"))
+    said = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), F.url_encode(value.cast("string")), F.lit("\r\n")), F.lit(""))
+    about = F.concat(said("page-id", F.col("key")), said("refers-to-page-id", F.when(again, F.col("first"))), said("payload-bytes", F.col("n")))
     rows = rows.select("*", own.alias("id"), again.alias("again"), http.alias("http"), about.alias("about"))
     target, digest = ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     whole = record("response", F.col("id"), [target, digest, ("Content-Type", "application/http; msgtype=response")], F.concat("http", "html"))
@@ -76,81 +92,128 @@ def records_of(pages: DataFrame, least: int = 100, key: str = "page_id", url: st
 
 def write_warc(pages: DataFrame, path: str, least: int = 100, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """The archives of the pages, as gzipped files at ``path``."""
-    records_of(pages, least, key, url, html).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    rows = _rows(pages, key, url, html)
+    shared, size = repeated(rows, least)
+    # A page's three records have about a kilobyte beside the body.
+    records = min(RECORDS, 3 * max(1, FILE_BYTES // (size + 1000)))
+    records_of(deduplicated(rows, shared)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    drop_stored(shared)
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a file of one or more gzip members, or of a plain one, some bytes at a time."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = member.decompress(data, PIECE)
+            if not piece and not member.unconsumed_tail and not member.eof:
+                raise ValueError("archive ends inside a gzip member")
+            yield piece
+            data = member.unconsumed_tail
+        data = member.unused_data
 
 
-def parse(data: bytes) -> Iterator[dict[str, str | int | None]]:
-    """The records of one archive; raises if it is damaged."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+def parse(pieces: Iterator[bytes]) -> Iterator[dict[str, str | int | None]]:
+    """The records of one archive, with offset and length of their content in what is inflated; raises if it is damaged."""
+    held, before = bytearray(), 0
+
+    def more(what: str) -> None:
+        piece = next(pieces, None)
+        if piece is None:
+            raise ValueError(f"{what} at byte {before}")
+        held.extend(piece)
+
+    while True:
+        while not held:
+            piece = next(pieces, None)
+            if piece is None:
+                return
+            held.extend(piece)
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(0, len(held) - 3)
+            more("no record")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"no record at byte {before}")
         head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         start = end + 4
         stop = start + int(head["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is cut short")
-        content = data[start:stop]
+        while len(held) < stop + 4:
+            more("a record is cut short")
+        if held[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"a record is cut short at byte {before}")
+        content = bytes(held[start:stop])
         # The body of a response is measured here, so that what follows need not carry it along.
-        body = content[content.find(b"\r\n\r\n") + 4 :] if head.get("warc-type") == "response" else None
+        body = memoryview(content)[content.find(b"\r\n\r\n") + 4 :] if head.get("warc-type") == "response" else None
         yield {
             "type": head.get("warc-type"), "id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"), "uri": head.get("warc-target-uri"),
-            "date": head.get("warc-date"), "payload_digest": head.get("warc-payload-digest"), "content_type": head.get("content-type"), "content": content.decode("utf-8", "replace"),
-            "payload_bytes": None if body is None else len(body), "payload_sha256": None if body is None else hashlib.sha256(body).hexdigest(),
+            "date": head.get("warc-date"), "payload_digest": head.get("warc-payload-digest"), "content_type": head.get("content-type"), "content": content,
+            "payload_bytes": None if body is None else len(body), "payload_sha256": None if body is None else hashlib.sha256(body).hexdigest(), "offset": before + start, "length": len(content),
         }
-        at = stop + 4
+        del held[: stop + 4]
+        before += stop + 4
 
 
-def inflated(data: bytes) -> bytes:
-    """The content of a file of one or more gzip members, or of a plain one."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out)
-
-
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], bodies: bool) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ") for x in RECORD.split(", ")]
     schema = pa.schema([(n, pa.int64() if kind == "long" else pa.string()) for n, kind in names])
+
+    def handed(held: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], schema.field(n).type) for n in schema.names], schema=schema)
+
     for batch in batches:
         for i in range(batch.num_rows):
-            held, n = [], 0
-            for r in parse(inflated(batch.column(0)[i].as_py())):
+            file, held, n = batch.column(0)[i].as_py(), [], 0
+            for r in parse(inflated(batch.column(1)[i].as_py())):
+                r["file"] = file
+                r["content"] = r["content"].decode("utf-8", "replace") if bodies or r["concurrent_to"] else None
                 held.append(r)
-                n += len(r["content"])
+                n += len(r["content"] or "") + 500
                 if n >= CHUNK:
-                    yield pa.RecordBatch.from_pylist(held, schema)
+                    yield handed(held)
                     held, n = [], 0
-            yield pa.RecordBatch.from_pylist(held, schema)
+            yield handed(held)
+
 
+def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
+    """The records of all archives at ``path``: the columns of ``RECORD``, among them the size and digest of a response's body, and where the content lies.
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives at ``path``: type, id, concurrent_to, refers_to, uri, date, payload_digest, content_type, content, and the size and digest of a response's body."""
+    Without ``bodies`` the content of records that name no capture is null.
+    """
     small_batches(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, RECORD)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lambda it: _parsed(it, bodies), RECORD)
 
 
-def assembled(records: DataFrame, bodies: bool = True) -> DataFrame:
-    """``id, uri, capture, request, metadata``: one nested row for each response or revisit; its content is null without ``bodies``.
+def record_at(spark: SparkSession, file: str, offset: int, length: int) -> bytes:
+    """The content of one record, read back from its archive; inflated up to there, no further."""
+    data = spark.read.format("binaryFile").load(file).select("content").first()[0]
+    out, at = bytearray(), 0
+    for piece in inflated(data):
+        out += piece[max(0, offset - at) : max(0, offset + length - at)]
+        at += len(piece)
+        if at >= offset + length:
+            break
+    return bytes(out)
 
-    Of several requests or metadata records that name one capture, that with the smallest id is taken.  A capture that
-    none names has nulls; records that name no capture are in :func:`orphans`.
-    """
-    part = ["type", "date", "payload_digest", "content_type", "content", "payload_bytes", "payload_sha256"]
-    content = F.col("content") if bodies else F.lit(None).cast("string")
-    captures = records.where(F.col("type").isin("response", "revisit")).withColumn("content", content).select("id", "uri", F.struct(*part).alias("capture"))
 
-    def named(kind: str) -> DataFrame:
-        mine = records.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
-        return mine.groupBy(F.col("concurrent_to").alias("id")).agg(F.min(F.struct("id", "date", "content_type", "content")).alias(kind))
+def assembled(records: DataFrame) -> DataFrame:
+    """``id, uri, capture, request, metadata``: one nested row for each response or revisit.
 
-    return captures.join(named("request"), "id", "left").join(named("metadata"), "id", "left")
+    The records meet by the identifier that they are concurrent to, or by their own, in one aggregation.  Of several
+    requests or metadata records that name one capture, that with the smallest id is taken.  A capture that none names has
+    nulls; records that name no capture are in :func:`orphans`.
+    """
+    whole = F.struct("id", "uri", "type", "date", "payload_digest", "content_type", "content", "payload_bytes", "payload_sha256", "file", "offset", "length")
+    part = F.struct("id", "date", "content_type", "content")
+    taken = F.col("type").isin("response", "revisit")
+    named = lambda kind: F.min(F.when((F.col("type") == kind) & F.col("concurrent_to").isNotNull(), part)).alias(kind)
+    met = records.groupBy(F.when(taken, F.col("id")).otherwise(F.coalesce("concurrent_to", "id")).alias("__capture")).agg(F.min(F.when(taken, whole)).alias("capture"), named("request"), named("metadata"))
+    held = met.where(F.col("capture").isNotNull())
+    return held.select("capture.id", "capture.uri", F.col("capture").dropFields("id", "uri").alias("capture"), "request", "metadata")
 
 
 def orphans(records: DataFrame) -> DataFrame:
@@ -160,8 +223,8 @@ def orphans(records: DataFrame) -> DataFrame:
 
 
 def warc_field(content: Column, name: str) -> Column:
-    """A field of a metadata record, null if it has none or an empty one."""
-    return F.nullif(F.regexp_extract(content, rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+    """A percent-encoded field of a metadata record, null if it has none."""
+    return F.when(content.rlike(rf"(?m)^{name}: "), F.url_decode(F.regexp_extract(content, rf"(?m)^{name}: ([^\r\n]*)", 1)))
 
 
 def captures(pages: DataFrame, least: int = 100, key: str = "page_id", url: str = "url", html: str = "html", path: str | None = None) -> DataFrame:
@@ -170,7 +233,7 @@ def captures(pages: DataFrame, least: int = 100, key: str = "page_id", url: str
     path = path or shared_dir(spark, "warc")
     write_warc(pages, path, least, key, url, html)
     kind = pages.schema[key].dataType
-    rows = assembled(read_warc(spark, path), bodies=False)
+    rows = assembled(read_warc(spark, path, bodies=False))
     revisit = F.col("capture.type") == "revisit"
     about = F.col("metadata.content")
     # A revisit has no body; its metadata tell the size of the one that it revisits.
