@@ -19,10 +19,15 @@ SLICE_BYTES = 8 << 20
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset, as in tests, is one of our own used.
+    ``spark.checkpoint.dir`` names that folder.  Only a session of one machine may leave it unset and gets one of our own;
+    on a cluster that would be another folder for each executor, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        root = "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

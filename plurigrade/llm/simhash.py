@@ -4,23 +4,30 @@ Fingerprint: the text's A-Z are lower-cased, words are runs of anything but ASCI
 ``words`` consecutive words (repeats included, space-joined; fewer words: all of them) is hashed with XXH64, seed 42.
 A bit is 1 if more than half of the hashes have it.  No words: zero.
 
-Search: the 64 bits are dealt to three blocks.  Two fingerprints with at most ``distance`` differing bits differ in at
-most ``distance // 3`` bits of some block.  The anchors of a block are a covering code: a Hamming code over its first 15
-bits with all values of the others, of covering radius 1.  A fingerprint is at home at its nearest anchor and is
+Search: the 64 bits are dealt to blocks.  Two fingerprints with at most ``distance`` differing bits differ in at most
+``distance // blocks`` bits of some block.  The anchors of a block are a covering code: a Hamming code over its first 15 or
+31 bits with all values of the others, of covering radius 1.  A fingerprint is at home at its nearest anchor and is
 replicated to every anchor of each block within radius plus threshold; whatever is within the threshold of a fingerprint
 therefore visits the fingerprint's home, and homes are compared with visitors per anchor.
 
+The code follows the number of fingerprints (:func:`plan_for`): three blocks have few anchors, which costs few visits but
+fills them up as fingerprints grow in number; two blocks of 32 bits have about a hundred times fewer pairs for eight times
+the visits.  Both find the same links.
+
 Links inside an anchor come out as stars around their smallest member, never as all pairs, and components of the stars
 are found by alternating large-star and small-star rounds over distributed tables.  Equal fingerprints are one node, so a
 group of copies costs one row.  Anchors with very many homes are split by salt.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Rows without id take part in linking; the
-component's id is the smallest that is not null.  Repeated rows give repeated results.
+component's id is the smallest that is not null.  Repeated rows give repeated results, an empty table an empty one.  A very
+long text is hashed whole, some shingles at a time.  Only the id and text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +41,36 @@ HOT_HOMES = 20_000
 #: Pairs compared at once, and shingles hashed at once.
 PAIRS, SHINGLES = 1 << 21, 1 << 15
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Width of the three blocks.
-_BLOCKS = (22, 21, 21)
-_CODED = 15
+#: Rows of anchors and fingerprints that one task makes, about.
+PLACED = 4_000_000
+#: What a row that is shuffled costs, in pairs compared.
+ROW_COST = 100
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Widths of the blocks, and how many bits of each the Hamming code is over, as a power of two less one."""
+
+    widths: tuple[int, ...]
+    coded: int
+
+    def rows(self, distance: int) -> int:
+        """Anchors that a fingerprint visits, at most, and its homes."""
+        radius = 1 + distance // len(self.widths)
+        return sum(1 + -(-sum(comb(w, k) for k in range(radius + 1)) // (self.coded + 1)) for w in self.widths)
+
+    def pairs(self, distance: int) -> float:
+        """Share of all pairs that meet, if fingerprints lie evenly."""
+        radius = 1 + distance // len(self.widths)
+        return sum(sum(comb(w, k) for k in range(radius + 1)) / 2.0**w for w in self.widths)
+
+
+PLANS = (Plan((22, 21, 21), 15), Plan((32, 32), 31))
+
+
+def plan_for(n: int, distance: int) -> Plan:
+    """The plan whose rows and pairs cost least for so many fingerprints."""
+    return min(PLANS, key=lambda p: ROW_COST * p.rows(distance) * n + p.pairs(distance) * n * n)
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -78,22 +112,19 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
 class Anchors:
     """The covering code of one block and the error patterns that lead from a value to the anchors around it."""
 
-    def __init__(self, width: int, radius: int) -> None:
-        bit = np.arange(_CODED)
-        self.width = width
-        flips = [0, *(1 << b for b in range(width))]
-        for _ in range(radius - 1):
-            flips = sorted({f ^ (1 << b) for f in flips for b in range(width)} | {*flips})
-        flips = np.array(flips, dtype=np.int64)
+    def __init__(self, width: int, radius: int, coded: int = 15) -> None:
+        self.width, self.coded = width, coded
+        flips = np.zeros(1, dtype=np.int64)
+        for _ in range(radius):
+            flips = np.unique(np.concatenate([flips, *(flips ^ (1 << b) for b in range(width))]))
         of = np.zeros(len(flips), dtype=np.int64)
-        for b in bit:
+        for b in range(coded):
             of ^= np.where((flips >> b) & 1, b + 1, 0)
-        self.around = [flips[of == s] for s in range(1 << 4)]
+        self.around = [flips[of == s] for s in range(coded + 1)]
 
-    @staticmethod
-    def syndrome(values: np.ndarray) -> np.ndarray:
+    def syndrome(self, values: np.ndarray) -> np.ndarray:
         s = np.zeros(len(values), dtype=np.int64)
-        for b in range(_CODED):
+        for b in range(self.coded):
             s ^= ((values >> b) & 1) * (b + 1)
         return s
 
@@ -113,22 +144,22 @@ class Anchors:
         return np.concatenate(index), np.concatenate(anchor)
 
 
-def _block_values(fp: np.ndarray) -> list[np.ndarray]:
+def _block_values(fp: np.ndarray, plan: Plan) -> list[np.ndarray]:
     unsigned, shift, out = fp.view(np.uint64), 0, []
-    for w in _BLOCKS:
+    for w in plan.widths:
         out.append(((unsigned >> np.uint64(shift)) & np.uint64((1 << w) - 1)).astype(np.int64))
         shift += w
     return out
 
 
-def _placed(batches: Iterator[pa.RecordBatch], distance: int, homes_only: bool) -> Iterator[pa.RecordBatch]:
+def _placed(batches: Iterator[pa.RecordBatch], distance: int, plan: Plan, homes_only: bool) -> Iterator[pa.RecordBatch]:
     """``anchor, visitor, fp``: a fingerprint's home (visitor false) and, with it, every anchor that it visits."""
-    codes = [Anchors(w, 1 + distance // len(_BLOCKS)) for w in _BLOCKS]
+    codes = [Anchors(w, 1 + distance // len(plan.widths), plan.coded) for w in plan.widths]
     for batch in batches:
         whole = batch.column(0).to_numpy()
         for i in range(0, len(whole), 4096):
             fp = whole[i : i + 4096]
-            for k, (code, values) in enumerate(zip(codes, _block_values(fp), strict=True)):
+            for k, (code, values) in enumerate(zip(codes, _block_values(fp, plan), strict=True)):
                 tag = np.int64(k) << 40
                 home = code.home(values)
                 yield pa.RecordBatch.from_arrays([pa.array(home | tag), pa.array(np.zeros(len(fp), dtype=bool)), pa.array(fp)], ["anchor", "visitor", "fp"])
@@ -196,10 +227,14 @@ def _compared(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def star_links(prints: DataFrame, distance: int = 4, hot_homes: int = HOT_HOMES) -> DataFrame:
-    """``a, b``: links that join all fingerprints (distinct, column ``fp``) that a chain of links of at most ``distance`` bits joins."""
-    placed = prints.select("fp").mapInArrow(lambda it: _placed(it, distance, False), "anchor long, visitor boolean, fp long")
-    homes = prints.select("fp").mapInArrow(lambda it: _placed(it, distance, True), "anchor long, visitor boolean, fp long")
+def star_links(prints: DataFrame, distance: int = 4, hot_homes: int = HOT_HOMES, plan: Plan | None = None) -> DataFrame:
+    """``a, b``: links that join all fingerprints (distinct, stored, column ``fp``) that a chain of links of at most ``distance`` bits joins."""
+    n = prints.count()
+    plan = plan or plan_for(n, distance)
+    # A fingerprint becomes tens or hundreds of rows, so few of them are a task's work already.
+    dealt = prints.select("fp").repartition(max(1, -(-n * plan.rows(distance) // PLACED)), "fp")
+    placed = dealt.mapInArrow(lambda it: _placed(it, distance, plan, False), "anchor long, visitor boolean, fp long")
+    homes = prints.select("fp").mapInArrow(lambda it: _placed(it, distance, plan, True), "anchor long, visitor boolean, fp long")
     hot = stored(homes.groupBy("anchor").count().where(F.col("count") > hot_homes).select("anchor", F.ceil(F.col("count") / hot_homes).cast("int").alias("salts")), "hot-anchors")
     if hot.isEmpty():
         dealt = placed.withColumn("salt", F.lit(0))

@@ -25,8 +25,23 @@ def test_shards_are_even_and_slots_gapless(spark, docs, empty):
     assert sharding.shard(empty).collect() == []
 
 
+def test_copies_share_a_shard_and_hot_groups_are_spread(spark):
+    rows = [(i, f"text {i % 700} " * 20) for i in range(1400)] + [(7, "one hot row of one id") for _ in range(9000)] + [(10_000 + i, "hot text of many ids") for i in range(9000)] + [(9, f"t{i}") for i in range(5000)] + [(None, None)] * 40
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.size, r.text_crc32)) for r in out) == sorted(repr((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))) for i, t in rows)
+    load = np.bincount([r.shard for r in out], [r.size for r in out], 8)
+    assert load.max() - load.min() <= 0.01 * load.mean()
+    for k in range(8):
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
+    held = {}
+    for r in out:
+        held.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    whole = [s for (_, c), s in held.items() if c not in (zlib.crc32(b"one hot row of one id"), zlib.crc32(b"hot text of many ids"))]
+    assert all(len(s) == 1 for s in whole) and len(whole) == 5701
+
+
 def test_an_edit_moves_little_and_new_shards_fill(spark, tmp_path):
-    rows = sharding.records(spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 97).cast("int")).alias("text")))
+    rows = sharding.pieces(sharding.units(spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 97).cast("int")).alias("text"))))
     sizes = sharding.slot_sizes(rows)
     path = f"file://{tmp_path}/map"
     sharding.store_map(sharding.first_map(spark, 8), path)
@@ -71,7 +86,7 @@ def test_captures_read_back(spark, tmp_path):
 
 def test_records_without_partner(spark):
     rows = [("response", "a", None), ("request", "b", "a"), ("request", "c", "a"), ("metadata", "d", "zz"), ("response", "e", None), ("request", "f", None)]
-    full = spark.createDataFrame([(t, i, c, None, "u", "d", "x", "y", "z", 1, "q") for t, i, c in rows], warc.RECORD)
+    full = spark.createDataFrame([(t, i, c, None, "u", "d", "x", "y", "z", 1, "q", "f", 0, 1) for t, i, c in rows], warc.RECORD)
     got = {r.id: (r.request and r.request.id, r.metadata) for r in warc.assembled(full).collect()}
     assert got == {"a": ("b", None), "e": (None, None)}
     assert sorted(r.id for r in warc.orphans(full).collect()) == ["d", "f"]
@@ -79,9 +94,32 @@ def test_records_without_partner(spark):
 
 def test_damaged_archives_fail():
     with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"))
+        list(warc.parse(iter([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"])))
     with pytest.raises(ValueError):
-        list(warc.parse(b"no record"))
+        list(warc.parse(iter([b"no record"])))
+    import gzip
+
+    with pytest.raises(ValueError):
+        list(warc.inflated(gzip.compress(b"x" * 5000)[:-20]))
+    assert b"".join(warc.inflated(gzip.compress(b"one") + gzip.compress(b"two"))) == b"onetwo"
+
+
+def test_records_come_whole_from_small_pieces():
+    data = b"".join(f"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: {n}\r\n\r\n{'y' * n}\r\n\r\n".encode() for n in (0, 5, 700))
+    for size in (1, 3, 50, 10_000):
+        got = list(warc.parse(data[i : i + size] for i in range(0, len(data), size)))
+        assert [len(r["content"]) for r in got] == [0, 5, 700] and all(data[r["offset"] : r["offset"] + r["length"]] == r["content"] for r in got)
+
+
+def test_ids_of_any_characters_and_bodies_by_place(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    pages = spark.createDataFrame([("a\nb", "u", "é" * 80), ("c: d%20", "u", "é" * 80), ("", "u", "é"), (None, "u", "z" * 300)], "page_id string, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    got = {(r.page_id, r.payload_bytes): (r.record_type, r.refers_to) for r in warc.captures(pages, path=path).collect()}
+    assert got[("a\nb", 160)] == ("response", None) and got[("c: d%20", 160)] == ("revisit", "a\nb") and (None, 300) in got and ("", 2) in got
+    for r in warc.assembled(warc.read_warc(spark, path)).collect():
+        assert warc.record_at(spark, r.capture.file, r.capture.offset, r.capture.length).decode() == r.capture.content
+    assert warc.assembled(warc.read_warc(spark, path, bodies=False)).where("capture.content is not null").count() == 0
 
 
 def test_no_pages(spark):
@@ -125,12 +163,13 @@ def near_pool(n, seed):
     return out
 
 
+@pytest.mark.parametrize("plan", simhash.PLANS)
 @pytest.mark.parametrize("hot", [simhash.HOT_HOMES, 2])
-def test_links_lose_no_component(spark, hot):
+def test_links_lose_no_component(spark, hot, plan):
     pool = sorted(set(near_pool(700, 3)))
     signed = np.array(pool, dtype=np.uint64).view(np.int64).tolist()
     rows = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5)
-    root = {r.node: r.root for r in simhash.components(simhash.star_links(rows, 4, hot)).collect()}
+    root = {r.node: r.root for r in simhash.components(simhash.star_links(rows, 4, hot, plan)).collect()}
     own, want = {}, {}
     for i, (x, k) in enumerate(zip(signed, plain_components(pool), strict=True)):
         own.setdefault(root.get(x, x), set()).add(i)
@@ -156,6 +195,24 @@ def test_every_value_visits_its_neighbours_homes():
         assert {(i, h) for i, h in enumerate(home.tolist())} <= set(zip(at.tolist(), anchor.tolist(), strict=True))
 
 
+def test_the_code_follows_the_number_of_fingerprints():
+    few, many = simhash.PLANS
+    assert simhash.plan_for(1_000_000, 4) == few and simhash.plan_for(1_000_000_000, 4) == many
+    assert few.rows(4) <= 60 and many.rows(4) <= 350 and many.pairs(4) < few.pairs(4) / 90
+
+
+def test_every_value_visits_its_neighbours_homes_in_wide_blocks():
+    code = simhash.Anchors(32, 3, 31)
+    r = np.random.RandomState(2)
+    x = r.randint(0, 1 << 32, 40)
+    home = code.home(x)
+    assert all(bin(a ^ b).count("1") <= 1 for a, b in zip(x.tolist(), home.tolist(), strict=True))
+    for _ in range(60):
+        a, b = r.randint(0, 32, 2).tolist()
+        at, anchor = code.near(x ^ (1 << a) ^ (1 << b))
+        assert {(i, h) for i, h in enumerate(home.tolist())} <= set(zip(at.tolist(), anchor.tolist(), strict=True))
+
+
 def test_near_duplicates_of_documents(spark, docs, empty):
     got = tuples(simhash.near_duplicates(docs))
     prints = [plain_print(t) for _, t in TEXTS]
