@@ -3,8 +3,8 @@
 A byte pair that occurs inside no vocabulary token can never end up within one token, so a text may be cut between
 its two bytes: the merges on either side do not see each other.  Cuts are made where such a pair is a byte that is
 no white space followed by white space, or a letter followed by a mark, because there the library's own pattern also ends
-a piece whatever the context; and between two letters, where its pattern takes either side as it would the whole.  The
-fragments are encoded independently, each distinct short one once per worker, and their ids concatenated.
+a piece whatever the context; and, in what is still long, between two letters, where its pattern takes either side as it
+would the whole.  The fragments are encoded independently, each distinct short one once per worker, and their ids concatenated.
 
 Null text is the empty text and gives no ids.  Repeated rows give repeated results, an empty table an empty one.  A very long
 text is encoded whole, its fragments some at a time; a fragment that no cut divides is one call of the library.  Only the id
@@ -30,12 +30,14 @@ MEMO = 150_000
 LONGEST = 64
 #: New fragments that are encoded as one text, such texts handed to the library at once, and bytes of other fragments handed to it at once.
 RUN, RUNS, ALONE = 256, 64, 1 << 18
-#: Bytes of text whose fragments are told apart at once.
-STEP = 1 << 20
+#: Bytes of text whose fragments are told apart at once, and of different fragments above which they are not.
+STEP, DISTINCT = 8 << 20, 4 << 20
 _SPACE = b"\t\n\x0b\x0c\r "
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: ASCII marks but the apostrophe, which may begin a piece that goes on with letters.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Ranges that are gathered at once.
+RANGES = 1 << 16
 _APOSTROPHE = ord("'")
 _loaded: dict[str, BytePairCodec] = {}
 
@@ -48,9 +50,16 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def take_ranges(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """``pool[start : start + length]`` of each range, one after the other."""
+    """``pool[start : start + length]`` of each range, one after the other; some ranges at a time, so that indexes stay small."""
     ends = np.cumsum(length)
-    return pool[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=pool.dtype)
+    shift = start - (ends - length)
+    for i in range(0, len(ends), RANGES):
+        a, b = int(ends[i - 1]) if i else 0, int(ends[min(i + RANGES, len(ends)) - 1])
+        at = np.repeat(shift[i : i + RANGES], length[i : i + RANGES])
+        at += np.arange(a, b)
+        np.take(pool, at, out=out[a:b], mode="clip")
+    return out
 
 
 class Memory:
@@ -104,7 +113,8 @@ class BytePairCodec:
             pair = np.frombuffer(token, dtype=np.uint8)
             self.inside[pair[:-1], pair[1:]] = True
         white, letter, mark = (np.isin(np.arange(256), list(x)) for x in (_SPACE, _LETTERS, _MARKS))
-        self.opens = (~self.inside & ((~white[:, None] & white[None, :]) | (letter[:, None] & (mark | letter)[None, :]))).ravel()
+        self.opens = (~self.inside & ((~white[:, None] & white[None, :]) | (letter[:, None] & mark[None, :]))).ravel()
+        self.parts = (~self.inside & letter[:, None] & letter[None, :]).ravel()
         self.sticky = {b for b in range(256) if b in _SPACE or self.inside[b, list(_SPACE)].any()}
         self.memory, self.old = Memory(), Memory()
 
@@ -112,9 +122,18 @@ class BytePairCodec:
         """Places of the certain cuts: between the two bytes of a forced boundary that also ends a piece in any context."""
         pair = data[:-1].astype(np.uint16) << 8
         pair |= data[1:]
-        at = np.flatnonzero(self.opens[pair]) + 1
-        # The letter after an apostrophe may be the first of an ending that the pattern takes as a piece.
-        return at[(at < 2) | (data[at - 2] != _APOSTROPHE)]
+        return np.flatnonzero(self.opens[pair]) + 1
+
+    def finer(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Places of certain cuts between two letters, inside the fragments that are too long to be remembered."""
+        found = []
+        for i in np.flatnonzero(np.diff(edges) > LONGEST).tolist():
+            a, b = int(edges[i]), int(edges[i + 1])
+            own = data[a:b]
+            at = np.flatnonzero(self.parts[own[:-1].astype(np.uint16) << 8 | own[1:]]) + 1
+            # The letter after an apostrophe may be the first of an ending that the pattern takes as a piece.
+            found.append(a + at[(at < 2) | (own[at - 2] != _APOSTROPHE)])
+        return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
 
     def _learn(self, missing: list[bytes], into: Memory) -> None:
         """Encode new fragments, joined into longer texts at their certain cuts and told apart by the bytes that the ids stand for."""
@@ -135,9 +154,9 @@ class BytePairCodec:
 
     def _known(self, fragments: list[bytes]) -> np.ndarray:
         """The numbers of the fragments in memory, where those not met before come from the library."""
-        if len(self.memory.index) > MEMO:
-            self.old, self.memory = self.memory, Memory()
         missing = [f for f in fragments if f not in self.memory.index]
+        if len(self.memory.index) + len(missing) > MEMO and self.memory.index:
+            self.old, self.memory, missing = self.memory, Memory(), fragments
         before = self.old.index
         again = [f for f in missing if f in before]
         if again:
@@ -146,9 +165,8 @@ class BytePairCodec:
             self._learn([f for f in missing if f not in before], self.memory)
         return np.fromiter(map(self.memory.index.__getitem__, fragments), dtype=np.int64, count=len(fragments))
 
-    def _ids(self, fragments: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, fragments: list[bytes], sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct fragments in the order ``at``, joined, and how many each has; long ones are not remembered."""
-        sizes = np.fromiter(map(len, fragments), dtype=np.int64, count=len(fragments))
         if not len(sizes) or sizes.max() <= LONGEST:
             number = self._known(fragments)
             return self.memory.take(number[at])
@@ -175,16 +193,24 @@ class BytePairCodec:
         # Fragments of all texts together, some bytes at a time; texts begin anew, and empty ones have none.
         edges = np.sort(np.concatenate([self.cuts(data), bounds]), kind="stable")
         edges = edges[np.concatenate([[True], edges[1:] != edges[:-1]])]
+        if len(more := self.finer(data, edges)):
+            edges = np.sort(np.concatenate([edges, more]), kind="stable")
         steps = np.unique(np.append(np.searchsorted(edges, np.arange(0, len(data), STEP)), len(edges) - 1))
         ids, n = zip(*(self._fragments(data, edges[i : j + 1]) for i, j in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True)), strict=True)
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(n))])[np.searchsorted(edges, bounds)]
 
     def _fragments(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the fragments between the edges, joined, and how many each has."""
+        """The ids of the fragments between the edges, joined, and how many each has; where very many differ, in two halves."""
         split = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        if split.dictionary.nbytes > DISTINCT and len(edges) > 2:
+            half = len(edges) // 2
+            del split
+            (a, n), (b, m) = self._fragments(data, edges[: half + 1]), self._fragments(data, edges[half:])
+            return np.concatenate([a, b]), np.concatenate([n, m])
         _, offsets, content = split.dictionary.buffers()
-        whole, to = content.to_pybytes(), np.frombuffer(offsets, dtype=np.int64, count=len(split.dictionary) + 1).tolist()
-        return self._ids([whole[a:b] for a, b in zip(to[:-1], to[1:], strict=True)], split.indices.to_numpy())
+        whole, to = content.to_pybytes(), np.frombuffer(offsets, dtype=np.int64, count=len(split.dictionary) + 1)
+        sizes, to = np.diff(to), to.tolist()
+        return self._ids([whole[a:b] for a, b in zip(to[:-1], to[1:], strict=True)], sizes, split.indices.to_numpy())
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
