@@ -113,54 +113,58 @@ class MergeCounter:
     def merged(self, symbols: str) -> int:
         """Initial symbols less merges.
 
-        Symbols are numbers in flat arrays: a piece's is its rank, any other character's comes after these.  The heap
-        holds the pairs that merges make; those that stand at the beginning are sorted once and met in order beside it.
+        The symbols are a list linked by two arrays.  The heap holds the pairs that merges make, as rank and place; those
+        that stand at the beginning are sorted once and met in order beside it.
         """
         rank, pieces = self.rank, self.pieces
-        n, known = len(symbols), len(pieces)
-        others: dict[str, int] = {}
-        own = array("i", (rank[c] if c in rank else others.setdefault(c, known + len(others)) for c in symbols))
-        single = list(others)
-        total = n + sum((len(c.encode()) - 1) * symbols.count(c) for c in single) if len(single) < 8 else sum(1 if c in rank else len(c.encode()) for c in symbols)
-        if n < 2:
-            return total
-        name = lambda s: pieces[s] if s < known else single[s - known]
-        first = array("q", (r << 32 | i for i in range(n - 1) if (r := rank.get(symbols[i : i + 2])) is not None))
+        get = rank.get
+        n = len(symbols)
+        bytewise = {c: len(c.encode()) for c in set(symbols) if c not in rank}
+        total = n + sum((k - 1) * symbols.count(c) for c, k in bytewise.items()) if bytewise else n
+        first = [r << 32 | i for i in range(n - 1) if (r := get(symbols[i : i + 2])) is not None] if n <= LONGEST else array("q", (r << 32 | i for i in range(n - 1) if (r := get(symbols[i : i + 2])) is not None))
         if not first:
             return total
-        np.frombuffer(first, dtype=np.int64).sort()
-        before, after = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+        if n <= LONGEST:
+            first.sort()
+            text, before, after = list(symbols), list(range(-1, n - 1)), list(range(1, n + 1))
+        else:
+            np.frombuffer(first, dtype=np.int64).sort()
+            alike: dict[str, str] = {}
+            text, before, after = [alike.setdefault(c, c) for c in symbols], array("i", range(-1, n - 1)), array("i", range(1, n + 1))
         heap: list[int] = []
         at, stop = 0, len(first)
-        while heap or at < stop:
-            if at < stop and not (heap and heap[0] < first[at]):
+        while True:
+            if at < stop:
                 entry = first[at]
-                at += 1
-            else:
+                if heap and heap[0] < entry:
+                    entry = heappop(heap)
+                else:
+                    at += 1
+            elif heap:
                 entry = heappop(heap)
-            r, a = entry >> 32, entry & 0xFFFFFFFF
-            left, b = own[a], after[a]
-            # What was merged away is -1; a pair that has changed since has another rank, or is met again in its place.
-            if left < 0 or b >= n:
+            else:
+                return total
+            a = entry & 0xFFFFFFFF
+            left, b = text[a], after[a]
+            # What was merged away is empty; a pair that has changed since has another rank, or is met again in its place.
+            if not left or b >= n:
                 continue
-            right = own[b]
-            if rank.get(name(left) + name(right)) != r:
+            if get(left + text[b]) != entry >> 32:
                 continue
-            total -= (1 if left < known else len(name(left).encode())) + (1 if right < known else len(name(right).encode())) - 1
-            own[a], own[b] = r, -1
+            whole = pieces[entry >> 32]
+            total -= 1 if not bytewise else bytewise.get(left, 1) + bytewise.get(text[b], 1) - 1
+            text[a], text[b] = whole, ""
             after[a] = c = after[b]
-            whole = pieces[r]
             if c < n:
                 before[c] = a
-                s = rank.get(whole + name(own[c]))
-                if s is not None:
-                    heappush(heap, s << 32 | a)
+                r = get(whole + text[c])
+                if r is not None:
+                    heappush(heap, r << 32 | a)
             p = before[a]
             if p >= 0:
-                s = rank.get(name(own[p]) + whole)
-                if s is not None:
-                    heappush(heap, s << 32 | p)
-        return total
+                r = get(text[p] + whole)
+                if r is not None:
+                    heappush(heap, r << 32 | p)
 
     def apart(self, part: str) -> list[str]:
         """A long fragment, cut between any two characters that no piece has side by side."""
