@@ -40,10 +40,53 @@ _MAGIC = b"RPG2"
 _LAYOUT = ("left", "right", "expands", "sequence", "lengths")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.int32(2**31 - 1)
+#: Rounds that go over the whole sequence.
+WHOLE = 2
 #: Values that are packed at once; a multiple of eight, so that slabs end at bytes.
 _SLAB = 1 << 16
 
 
+def _ranked(key: np.ndarray, odd: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rank of each pair that counts (``_NEVER`` if it is rare), whether it may still be frequent, and the pairs by rank.
+
+    Pairs are counted in a hash table in which each slot holds one of its pairs; the others wait for a round with another
+    hash.  A pair that holds its slot and is rare is rare for good.
+    """
+    bits = min(SLOT_BITS, max(4, len(key).bit_length() + 1))
+    slots = 1 << bits
+    slot = ((key.view(np.uint64) * (_HASH + np.uint64(2 * turn))) >> np.uint64(64 - bits)).astype(np.int32)
+    holder = np.empty(slots, dtype=np.int64)
+    holder[slot[::-1]] = key[::-1]
+    mine = holder[slot] == key
+    # What does not count goes to a slot beyond the table.
+    counted = np.where(mine & ~odd, slot, np.int32(slots))
+    count = np.bincount(counted, minlength=slots + 1)[:slots]
+    frequent = np.flatnonzero(count >= LEAST)
+    frequent = frequent[np.lexsort((holder[frequent], -count[frequent]))]
+    rank_of = np.full(slots + 1, _NEVER, dtype=np.int32)
+    rank_of[frequent] = np.arange(len(frequent), dtype=np.int32)
+    return rank_of[counted], ~mine | (rank_of[slot] < _NEVER), holder[frequent]
+
+
+def _odd(twin: np.ndarray, joined: np.ndarray, n: int) -> np.ndarray:
+    """Every other pair of runs of one symbol; ``twin`` are the pairs of equal symbols, ``joined`` those that overlap the one before."""
+    odd = np.zeros(n, dtype=bool)
+    if len(twin):
+        place = np.arange(len(twin))
+        odd[twin] = (place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 1
+    return odd
+
+
+def _ruled(own: np.ndarray, won: np.ndarray, pairs: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs that won where they stand, those that did so often enough: their places, their names there, and the pairs that get rules."""
+    used = np.bincount(own[won], minlength=len(pairs))
+    ruled = np.flatnonzero(used >= LEAST)
+    name = np.zeros(len(pairs), dtype=np.int64)
+    name[ruled] = symbols + np.arange(len(ruled))
+    won = won[used[own[won]] >= LEAST]
+    return won, name[own[won]], pairs[ruled]
+
+
 def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
     """Rules (``left``, ``right``, ``expands``) and ``sequence`` of a Re-Pair grammar of the ids.
 
@@ -51,69 +94,49 @@ def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
     those that stand at least ``LEAST`` times by frequency, and replaces each occurrence that ranks above both that it
     overlaps; rounds end when no pair of the sequence stands so often without overlapping itself.
 
-    A pair of old symbols never gains an occurrence, so once it is known to be rare its places are not looked at again: after
-    the first rounds the work is that of the places that changed.
+    A pair of old symbols never gains an occurrence, so once it is known to be rare its places are not looked at again.  The
+    first rounds, in which most places change, go over the whole sequence; then it is linked, and rounds go over what changed.
     """
-    n = len(ids)
     s = ids.astype(np.int64)
+    rules: list[np.ndarray] = []
+    symbols, turn = terminals, 0
+    active = np.ones(len(s), dtype=bool)
+    while turn < WHOLE and len(s) > LEAST:
+        twin = np.flatnonzero(s[:-1] == s[1:])
+        own, going, pairs = _ranked((s[:-1] << 32) | s[1:], _odd(twin, np.diff(twin, prepend=-2) == 1, len(s) - 1), turn)
+        turn += 1
+        rank = np.full(len(s) + 1, _NEVER, dtype=np.int32)
+        rank[1:-1] = own
+        chosen, names, new = _ruled(own, np.flatnonzero((own < rank[:-2]) & (own < rank[2:])), pairs, symbols)
+        rules.append(new)
+        symbols += len(new)
+        s[chosen] = names
+        keep = np.ones(len(s), dtype=bool)
+        keep[chosen + 1] = False
+        active = np.append(going, False)
+        active[chosen] = True
+        active[chosen[chosen > 0] - 1] = True
+        s, active = s[keep], active[keep]
+    n = len(s)
     after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     alive = np.ones(n, dtype=bool)
     rank = np.full(n + 1, _NEVER, dtype=np.int32)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    symbols, turn = terminals, 0
-    at = np.arange(max(0, n - 1), dtype=np.int32)
+    at = np.flatnonzero(active[:-1]).astype(np.int32)
     while len(at) >= LEAST:
         a, to = s[at], after[at]
         b = s[to]
-        key = (a << 32) | b
-        # Pairs are counted in a hash table in which each slot holds one of its pairs; the others wait for a round with another hash.
-        bits = min(SLOT_BITS, max(4, int(len(at)).bit_length() + 1))
-        slots = 1 << bits
-        slot = ((key.view(np.uint64) * (_HASH + np.uint64(2 * turn))) >> np.uint64(64 - bits)).astype(np.int32)
-        turn += 1
-        holder = np.empty(slots, dtype=np.int64)
-        holder[slot[::-1]] = key[::-1]
-        mine = holder[slot] == key
-        # In a run of one symbol every other pair counts, from the run's first on.
-        odd = np.zeros(len(at), dtype=bool)
         twin = np.flatnonzero(a == b)
-        if len(twin):
-            begins = np.ones(len(twin), dtype=bool)
-            begins[1:] = to[twin[:-1]] != at[twin[1:]]
-            place = np.arange(len(twin))
-            odd[twin] = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 1
-        counted = mine & ~odd
-        count = np.bincount(slot[counted], minlength=slots)
-        frequent = np.flatnonzero(count >= LEAST)
-        frequent = frequent[np.lexsort((holder[frequent], -count[frequent]))]
-        rank_of = np.full(slots, _NEVER, dtype=np.int32)
-        rank_of[frequent] = np.arange(len(frequent), dtype=np.int32)
-        # What holds its slot and is rare is rare for good.
-        ranked = rank_of[slot]
-        going = ~mine | (ranked < _NEVER)
-        live = np.flatnonzero(counted & (ranked < _NEVER))
-        where, own = at[live], ranked[live]
-        rank[where] = own
+        own, going, pairs = _ranked((a << 32) | b, _odd(twin, np.append(False, to[twin[:-1]] == at[twin[1:]])[: len(twin)], len(at)), turn)
+        turn += 1
         # The first place has no pair before it: index -1 is the last, which never ranks.
-        won = (own < rank[before[where]]) & (own < rank[to[live]])
-        rank[where] = _NEVER
-        used = np.bincount(own[won], minlength=len(frequent))
-        won &= used[own] >= LEAST
-        ruled = np.flatnonzero(used >= LEAST)
-        at = at[going]
-        if not len(ruled):
-            continue
-        name = np.zeros(len(frequent), dtype=np.int64)
-        name[ruled] = symbols + np.arange(len(ruled))
-        pairs = holder[frequent[ruled]]
-        left.append(pairs >> 32)
-        right.append(pairs & 0xFFFFFFFF)
-        symbols += len(ruled)
-        chosen = where[won]
+        rank[at] = own
+        chosen, names, new = _ruled(own, np.flatnonzero((own < rank[before[at]]) & (own < rank[to])), pairs, symbols)
+        rank[at] = _NEVER
+        rules.append(new)
+        symbols += len(new)
+        chosen, at = at[chosen], at[going]
         gone = after[chosen]
-        s[chosen] = name[own[won]]
-        alive[gone] = False
+        s[chosen], alive[gone] = names, False
         beyond = after[gone]
         after[chosen] = beyond
         inner = beyond < n
@@ -124,11 +147,11 @@ def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
         again[at] = True
         again[chosen] = True
         again[fresh[fresh >= 0]] = True
-        again &= alive
-        at = np.flatnonzero(again).astype(np.int32)
+        at = np.flatnonzero(again & alive).astype(np.int32)
         if len(at) and after[at[-1]] >= n:
             at = at[:-1]
-    a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (left, right))
+    pairs = np.concatenate(rules) if rules else np.empty(0, dtype=np.int64)
+    a, b = pairs >> 32, pairs & 0xFFFFFFFF
     return {"left": a, "right": b, "expands": expanded_lengths(a, b, terminals)[terminals:], "sequence": s[alive]}
 
 

@@ -43,6 +43,7 @@ def test_unbroken_letters_are_cut_and_long_fragments_not_kept(library, monkeypat
     r = random.Random(8)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     monkeypatch.setattr(bpe, "STEP", 700)
+    monkeypatch.setattr(bpe, "DISTINCT", 60)
     monkeypatch.setattr(bpe, "MEMO", 900)
     own = bpe.BytePairCodec(PATH)
     texts = ["".join(r.choices(letters + r.choice(["", "'", "é", "7", " ", "'’"]), k=r.randint(1, 400))) for _ in range(1500)]
