@@ -16,8 +16,8 @@ LABELS = ("potency", "preknn_potency")
 def compared(a: DataFrame, b: DataFrame, key: str = "cell_id", numbers: tuple[str, ...] = NUMBERS, labels: tuple[str, ...] = LABELS, atol: float = 1e-6, rtol: float = 0.0) -> DataFrame:
     """One row per compared column: ``name, n, n_missing_a, n_missing_b, n_mask_mismatch, n_outside, max_abs_delta, mean_delta, n_mismatch``.
 
-    One full outer join on the cell id and one aggregate; only cells of both tables are compared, the others are counted
-    by :func:`identity`.
+    One inner join on the cell id and one aggregate: only cells of both tables are compared, the others are counted by
+    :func:`identity`.  An id that stands twice in either table fails the comparison.
     """
     if atol < 0 or rtol < 0:
         raise ValueError("tolerances must not be negative")
@@ -55,7 +55,8 @@ def compared(a: DataFrame, b: DataFrame, key: str = "cell_id", numbers: tuple[st
             F.count_if(~x.eqNullSafe(y)).alias("n_mismatch"),
         )
 
-    rows = both.agg(F.array(*map(number, numbers), *map(label, labels)).alias("rows"))
+    single = F.count("*") == F.count_distinct(F.col(key))
+    rows = both.agg(F.when(single, F.array(*map(number, numbers), *map(label, labels))).otherwise(F.raise_error(F.lit("a cell id stands twice"))).alias("rows"))
     return rows.select(F.explode("rows").alias("r")).select("r.*")
 
 
@@ -93,5 +94,5 @@ def verdict(metrics: DataFrame, same_cells: bool) -> bool:
 
 
 def file_digests(df: DataFrame) -> DataFrame:
-    """``path, sha256`` of rows of the binary file source."""
+    """``path, sha256`` of rows of the binary file source, which leaves empty files out."""
     return df.select("path", F.sha2("content", 256).alias("sha256"))

@@ -48,7 +48,16 @@ def fixed_point(a: np.ndarray, start: np.ndarray, rounds: int = ROUNDS, toleranc
 def sparse_vectors(lg: DataFrame, top: DataFrame) -> DataFrame:
     """``cell_id, at, lg``: arrays of places and values of each cell's entries among the chosen features."""
     order = top.selectExpr("feature_idx", "cast(row_number() over (order by feature_idx) - 1 as int) as at")
-    return lg.join(order, "feature_idx").groupBy("cell_id").agg(F.collect_list("at").alias("at"), F.collect_list("lg").alias("lg"))
+    return _listed(lg.join(order, "feature_idx"))
+
+
+def batch_sparse_vectors(lg: DataFrame, top: DataFrame) -> DataFrame:
+    """:func:`sparse_vectors` where ``lg`` has ``batch`` and each batch its own features, ``top(batch, feature_idx, at)``."""
+    return _listed(lg.join(top, ["batch", "feature_idx"]))
+
+
+def _listed(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("cell_id").agg(F.collect_list("at").alias("at"), F.collect_list("lg").alias("lg"))
 
 
 def _matrix(frame: pd.DataFrame, width: int) -> np.ndarray:
@@ -77,15 +86,16 @@ def chunk_pairs(chunks: DataFrame, width: int, markov: bool = False) -> DataFram
 
 
 def diffused(chunks: DataFrame, width: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``chunk, cell_id, smooth, rounds``: the scores after diffusion in each chunk.
+    """``chunk, cell_id, smooth, rounds``, and ``batch`` if there is one: the scores after diffusion in each chunk.
 
-    ``chunks(chunk, cell_id, score, at, lg)`` plus any keys of ``chunk`` already folded into it.
+    ``chunks(chunk, cell_id, score, at, lg)``; with ``batch``, a chunk is one of its batch.
     """
     kind = chunks.schema["cell_id"].dataType.simpleString()
+    keys = [c for c in ("batch", "chunk") if c in chunks.columns]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cell_id")
         x, n = fixed_point(transitions(correlations(_matrix(frame, width))), frame["score"].to_numpy(dtype=float), rounds, tolerance)
-        return pd.DataFrame({"chunk": key[0], "cell_id": frame["cell_id"].to_numpy(), "smooth": x, "rounds": n})
+        return pd.DataFrame(dict(zip(keys, key, strict=True)) | {"cell_id": frame["cell_id"].to_numpy(), "smooth": x, "rounds": n})
 
-    return chunks.groupBy("chunk").applyInPandas(run, f"chunk int, cell_id {kind}, smooth double, rounds int")
+    return chunks.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} int" for k in keys) + f", cell_id {kind}, smooth double, rounds int")

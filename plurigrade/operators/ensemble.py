@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,13 @@ from plurigrade.functions.scalars import first_largest, order_score, softmax
 SET = ["model", "layer", "k"]
 #: Fixed value: what is added to variances in the batch norm.
 EPSILON = 1e-5
-#: Entries of the two set matrices up to which the kernel is used: 512 MB of float32.
-KERNEL_ENTRIES = 64_000_000
+#: Bytes of the model up to which the kernel is used, five per feature and set beyond ``EXACT`` of these, and entries of the feature
+#: graph that it may have.  Both follow from the model, not from the data.
+KERNEL_BYTES, GRAPH_ENTRIES = 1 << 30, 20_000_000
+#: Features by sets up to which weights are kept in double precision; beyond, in single, as published models have them.
+EXACT = 8_000_000
+#: Cells that the kernel makes dense at once.
+CELLS = 256
 
 
 def last_triples(triples: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def ensemble_means(predictions: DataFrame, classes: int = 6) -> DataFrame:
 
 @dataclass
 class Kernel:
-    """The model as matrices of features by all sets of a layer."""
+    """The model as matrices of features by all sets of a layer: members as bytes, background weights as floats."""
 
     models: list[int]
     layers: list[int]
@@ -111,7 +117,7 @@ class Kernel:
         out = np.empty((len(rank), len(self.models), len(self.layers)))
         for m in range(len(self.models)):
             for y in range(len(self.layers)):
-                w, b, n, top = self.member[m, y], self.background[m, y], self.sizes[m, y], self.maxrank[m, y]
+                w, b, n, top = self.member[m, y].astype(float), self.background[m, y].astype(float), self.sizes[m, y], self.maxrank[m, y]
                 score = 1 - (np.minimum(rank, top) @ w - n * (n + 1) / 2) / (n * top)
                 diff = lg @ w / n - lg @ b / b.sum(axis=0)
                 x = (np.concatenate([score, diff], axis=1) - self.head["rm"][m, y]) / np.sqrt(self.head["rv"][m, y] + EPSILON)
@@ -119,39 +125,63 @@ class Kernel:
         return out
 
 
-def kernel(geneset: DataFrame, weights: DataFrame, head: DataFrame, weight: DataFrame, n_features: int) -> Kernel | None:
-    """The matrices, or nothing if they would exceed ``KERNEL_ENTRIES``; their size follows from the model alone."""
-    bounds = geneset.agg(F.count_distinct("model"), F.count_distinct("layer"), F.count_distinct("k")).first()
-    if 2 * n_features * bounds[0] * bounds[1] * bounds[2] > KERNEL_ENTRIES:
-        return None
-    members, graph, heads, terms = (x.toPandas() for x in (geneset, weights, head, weight))
+def packed_sets(geneset: DataFrame, background: tuple[np.ndarray, np.ndarray, np.ndarray], n_features: int, sets: int, kind: str) -> DataFrame:
+    """``model, layer, member, background``: each layer's two matrices as bytes, the graph's part summed where the layer is packed."""
+    shared = geneset.sparkSession.sparkContext.broadcast(background)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        r, c, v = shared.value
+        member = np.zeros((n_features, sets), dtype=np.uint8)
+        member[frame["feature_idx"], frame["k"]] = 1
+        graph = np.empty((n_features, sets), dtype=kind)
+        for k in range(sets):
+            of = member[r, k].astype(bool)
+            graph[:, k] = np.bincount(c[of], v[of], n_features)
+        return pd.DataFrame({"model": [key[0]], "layer": [key[1]], "member": [member.tobytes()], "background": [graph.tobytes()]})
+
+    return geneset.select("model", "layer", "k", "feature_idx").groupBy("model", "layer").applyInPandas(run, "model int, layer int, member binary, background binary")
+
+
+def kernel(geneset: DataFrame, background: DataFrame, head: DataFrame, weight: DataFrame, n_features: int) -> Kernel | None:
+    """The matrices, or nothing if model or graph are too large; their size follows from the model alone.
+
+    Layers are packed where the sets are and come to the driver one partition at a time.
+    """
+    sets = (geneset.agg(F.max("k")).first()[0] or 0) + 1
+    heads, terms = head.toPandas(), weight.toPandas()  # a row per layer, and two per set
     models, layers = sorted(heads["model"].unique()), sorted(heads["layer"].unique())
-    sets = bounds[2]
-    at = lambda df: (df["model"].map({m: i for i, m in enumerate(models)}), df["layer"].map({y: i for i, y in enumerate(layers)}))
     shape = (len(models), len(layers))
-    member, background = np.zeros((*shape, n_features, sets)), np.zeros((*shape, n_features, sets))
-    member[(*at(members), members["feature_idx"], members["k"])] = 1
-    background[(*at(graph), graph["feature_idx"], graph["k"])] = graph["gs"]
-    sizes = member.sum(axis=2)
+    entries = n_features * len(models) * len(layers) * sets
+    kind = "<f8" if entries <= EXACT else "<f4"
+    if entries * (1 + int(kind[-1])) > KERNEL_BYTES or background.count() > GRAPH_ENTRIES:
+        return None
+    graph = background.select("r", "c", F.col("v").cast("double").alias("v")).toPandas()
+    member, weights = np.zeros((*shape, n_features, sets), dtype=np.uint8), np.zeros((*shape, n_features, sets), dtype=kind)
+    for row in packed_sets(geneset, tuple(graph[x].to_numpy() for x in "rcv"), n_features, sets, kind).toLocalIterator():
+        at = models.index(row["model"]), layers.index(row["layer"])
+        member[at] = np.frombuffer(row["member"], dtype=np.uint8).reshape(n_features, sets)
+        weights[at] = np.frombuffer(row["background"], dtype=kind).reshape(n_features, sets)
+    at = lambda df: (df["model"].map({m: i for i, m in enumerate(models)}), df["layer"].map({y: i for i, y in enumerate(layers)}))
+    sizes = member.sum(axis=2, dtype=np.int64).astype(float)
     named = {c: np.zeros((*shape, 2 * sets)) for c in ("rm", "rv", "ow")}
     for c, a in named.items():
         a[(*at(terms), terms["j"])] = terms[c]
     bias, limit = np.zeros(shape), np.zeros(shape)
     bias[at(heads)], limit[at(heads)] = heads["bias"], heads["maxrank"]
-    return Kernel([int(m) for m in models], [int(y) for y in layers], member, background, sizes, sizes.max(axis=2) + 10 + np.maximum(limit, 0) * 1000, named | {"bias": bias})
+    return Kernel([int(m) for m in models], [int(y) for y in layers], member, weights, sizes, sizes.max(axis=2) + 10 + np.maximum(limit, 0) * 1000, named | {"bias": bias})
 
 
-def kernel_logits(normalised: DataFrame, model: Kernel, n_features: int) -> DataFrame:
+def kernel_logits(normalised: DataFrame, model: Kernel | Broadcast, n_features: int) -> DataFrame:
     """``cell_id, model, z`` with the layers' logits in an array: one shuffle by cell, then products per batch of cells."""
-    shared = normalised.sparkSession.sparkContext.broadcast(model)
+    shared = normalised.sparkSession.sparkContext.broadcast(model) if isinstance(model, Kernel) else model
     # A cell has at most one entry per feature.
     rows = normalised.groupBy("cell_id").agg(F.collect_list("feature_idx").alias("i"), F.collect_list("rk").alias("rk"), F.collect_list("lg").alias("lg"), F.first("zero_rank").alias("zero_rank"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for frame in frames:
-            for a in range(0, len(frame), 256):
-                part = frame.iloc[a : a + 256]
+            for a in range(0, len(frame), CELLS):
+                part = frame.iloc[a : a + CELLS]
                 rank = np.repeat(part["zero_rank"].to_numpy(dtype=float)[:, None], n_features, axis=1)
                 lg = np.zeros((len(part), n_features))
                 for row, (i, r, v) in enumerate(zip(part["i"], part["rk"], part["lg"], strict=True)):
@@ -163,12 +193,12 @@ def kernel_logits(normalised: DataFrame, model: Kernel, n_features: int) -> Data
     return rows.mapInPandas(run, f"cell_id {kind}, model int, z array<double>")
 
 
-def predictions(normalised: DataFrame, geneset: DataFrame, background: DataFrame, head: DataFrame, weight: DataFrame, n_features: int, sets: int) -> DataFrame:
-    """The ensemble's means for every cell, by the kernel where the model fits, else by joins."""
-    graph = background_weights(geneset, background)
-    own = kernel(geneset, graph, head, weight, n_features)
+def predictions(normalised: DataFrame, geneset: DataFrame, background: DataFrame, head: DataFrame, weight: DataFrame, n_features: int, sets: int, own: Kernel | Broadcast | None = None) -> DataFrame:
+    """The ensemble's means for every cell, by the kernel (``own`` if it was built before) where the model fits, else by joins."""
+    own = own or kernel(geneset, background, head, weight, n_features)
     if own:
         return ensemble_means(with_order(kernel_logits(normalised, own, n_features)))
     sizes = set_sizes(geneset, head)
+    graph = background_weights(geneset, background)
     logits = head_logits(rank_scores(normalised, geneset, sizes), mean_differences(normalised, geneset, graph, sizes), head, weight, sets)
     return ensemble_means(model_predictions(logits))

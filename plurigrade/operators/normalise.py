@@ -48,11 +48,16 @@ def dense(cells: DataFrame, features: DataFrame, sparse: DataFrame) -> DataFrame
 
 
 def row_statistics(lg: DataFrame, n_features: int) -> DataFrame:
-    """``cell_id, mean, sd`` (population) of each cell over all features; null ``sd`` for a constant row."""
+    """``cell_id, mean, sd`` (population) of each cell over all features; null ``sd`` for a constant row.
+
+    The stored entries' own mean and variance are combined with the zeros in closed form, so that nothing cancels.
+    """
     n = F.lit(float(n_features))
-    sums = lg.groupBy("cell_id").agg(F.sum("lg").alias("s"), F.sum(F.col("lg") * F.col("lg")).alias("q"))
-    mean = F.col("s") / n
-    return sums.select("cell_id", mean.alias("mean"), F.nullif(F.sqrt(F.greatest(F.col("q") / n - mean * mean, F.lit(0.0))), F.lit(0.0)).alias("sd"))
+    own = lg.groupBy("cell_id").agg(F.count("*").alias("stored"), F.avg("lg").alias("own"), F.var_pop("lg").alias("variance"), F.min("lg").alias("low"), F.max("lg").alias("high"))
+    share = F.col("stored") / n
+    constant = (F.col("low") == F.col("high")) & ((F.col("stored") == n_features) | (F.col("low") == 0))
+    spread = F.sqrt(share * F.col("variance") + share * (1 - share) * F.col("own") * F.col("own"))
+    return own.select("cell_id", (share * F.col("own")).alias("mean"), F.when(~constant, F.nullif(spread, F.lit(0.0))).alias("sd"))
 
 
 def row_zscores(lg: DataFrame, n_features: int) -> DataFrame:

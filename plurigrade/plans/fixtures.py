@@ -75,3 +75,25 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cell_id, x, s``: the embedding vectors as doubles with a score from their label."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("x"), ((F.col("label") + 0.5) / 10.0 * 0.9 + F.col("vec_id") % 7 * 0.01).alias("s"))
+
+
+def large_model(spark: SparkSession, n_features: int = 14_271, models: int = 19, layers: int = 6, sets: int = 24) -> dict[str, DataFrame]:
+    """The tables of :func:`model` in the size that is published: about 3 % of the features in each set, 20 graph neighbours each."""
+    heads = spark.range(models).select(F.col("id").cast("int").alias("model")).crossJoin(spark.range(layers).select(F.col("id").cast("int").alias("layer")))
+    keyed = heads.crossJoin(spark.range(sets).select(F.col("id").cast("int").alias("k")))
+    index = spark.range(n_features).select(F.col("id").cast("int").alias("feature_idx"))
+    terms = heads.crossJoin(spark.range(2 * sets).select(F.col("id").cast("int").alias("j")))
+    near = spark.range(n_features).crossJoin(spark.range(20).select(F.col("id").alias("d")))
+    return {
+        "geneset": index.crossJoin(F.broadcast(keyed)).where(F.pmod(F.xxhash64("model", "layer", "k", "feature_idx"), F.lit(100)) < 3),
+        "background": near.select(F.col("id").cast("int").alias("r"), F.pmod(F.col("id") * 31 + F.col("d") * 997, F.lit(n_features)).cast("int").alias("c"), (0.1 + F.col("d") % 5 / 10).alias("v")),
+        "head": heads.select("model", "layer", ((F.col("model") * 6 + F.col("layer")) % 5 / 10.0).alias("maxrank"), ((F.col("layer") - 2.5) * 0.1).alias("bias")),
+        "weight": terms.select("model", "layer", "j", (F.col("j") % 5 * 0.1).alias("rm"), (0.5 + F.col("j") % 3 * 0.25).alias("rv"), (((F.col("j") * 7 + F.col("layer") * 3 + F.col("model")) % 11 - 5) / 10.0).alias("ow")),
+    }
+
+
+def large_matrix(spark: SparkSession, cells: int, n_features: int = 14_271, entries: int = 2_000) -> DataFrame:
+    """``cell_id, feature_idx, value`` of so many cells with about so many stored entries each."""
+    pairs = spark.range(0, cells, 1, max(8, cells // 200)).select(F.col("id").alias("cell_id"), F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("feature_idx"))
+    h = F.xxhash64("cell_id", "feature_idx")
+    return pairs.where(F.pmod(h, F.lit(n_features)) < entries).select("cell_id", F.col("feature_idx").cast("int").alias("feature_idx"), (1 + F.pmod(F.shiftright(h, 20), F.lit(50))).cast("double").alias("value"))

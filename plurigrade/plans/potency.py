@@ -16,9 +16,11 @@ def named(index) -> F.Column:
     return F.get(F.array(*map(F.lit, CATEGORIES)), index)
 
 
-def score(expr: DataFrame, feature: DataFrame, model: dict[str, DataFrame], sets: int, settings: Settings | None = None, stages: Stages | None = None) -> DataFrame:
+def score(expr: DataFrame, feature: DataFrame, model: dict[str, DataFrame], sets: int, settings: Settings | None = None, stages: Stages | None = None, cells: DataFrame | None = None) -> DataFrame:
     """``cell_idx, cell_id, score, potency, relative, preknn_score, preknn_potency`` of every cell.
 
+    ``cells(cell_idx, cell_id)`` gives the cells and their order; without it they are those of ``expr`` in order of id.
+
     ``expr(cell_id, feature, value)`` with mapped names, ``feature(feature, feature_idx)``, and the model's tables
     ``geneset, background, head, weight``.  Cells whose values add up to zero fail the run.  Each batch has its own
     dispersion, diffusion, binning and smoothing; only the relative score spans batches.
@@ -26,44 +28,57 @@ def score(expr: DataFrame, feature: DataFrame, model: dict[str, DataFrame], sets
     settings, stages = settings or Settings(), stages or Stages()
     n_features = feature.count()
     sparse = stages.keep("aligned", mapping.aligned(expr, feature))
-    ids = stages.keep("ids", expr.select("cell_id").distinct())
+    ids = stages.keep("ids", cells.select("cell_id") if cells is not None else expr.select("cell_id").distinct())
     if not (bare := normalise.without_total(ids, sparse)).isEmpty():
         raise ValueError(f"cell {bare.first()[0]!r} has no expression")
     n = ids.count()
-    cells = partition.batched(running(ids, ["cell_id"], name="cell_idx"), n, settings.batch_size, settings.seed, settings.least_for_batches)
+    placed = cells.select(F.col("cell_idx").cast("long").alias("cell_idx"), "cell_id") if cells is not None else running(ids, ["cell_id"], name="cell_idx")
+    cells = partition.batched(placed, n, settings.batch_size, settings.seed, settings.least_for_batches)
     cells = stages.keep("cells", cells.select("cell_id", "cell_idx", "batch"))
     normal = stages.keep("normalised", normalise.normalised(sparse, n_features))
     predicted = stages.keep("predicted", ensemble.predictions(normal, model["geneset"], model["background"], model["head"], model["weight"], n_features, sets))
-    sizes = {r["batch"]: r["n"] for r in cells.groupBy("batch").agg(F.count("*").alias("n")).collect()}  # one row per batch of thousands of cells
-    out = None
-    for batch, size in sorted(sizes.items()):
-        part = _batch(cells.where(F.col("batch") == batch), size, normal, predicted, feature, n_features, settings)
-        out = part if out is None else out.unionByName(part)
+    final = binning.relative(stages.keep("scored", _scored(cells, normal, predicted, feature, n_features, settings, stages)))
     # The least and greatest score are needed before any row is final.
-    final = binning.relative(stages.keep("scored", out))
     return final.select("cell_idx", "cell_id", "score", category_label(F.col("score")).alias("potency"), "relative", F.col("binned").alias("preknn_score"), named(F.col("category")).alias("preknn_potency"))
 
 
-def _batch(cells: DataFrame, size: int, normal: DataFrame, predicted: DataFrame, feature: DataFrame, n_features: int, settings: Settings) -> DataFrame:
-    own = normal.join(cells.select("cell_id"), "cell_id")
-    top = features.top_dispersed(features.dispersion(own, feature, size), min(settings.top_features, n_features))
+def _scored(cells: DataFrame, normal: DataFrame, predicted: DataFrame, feature: DataFrame, n_features: int, settings: Settings, stages: Stages) -> DataFrame:
+    """``cell_idx, cell_id, category, binned, score`` of all batches in one plan; ``batch`` is a column all the way."""
+    own = normal.join(cells.select("cell_id", "batch"), "cell_id")
+    # One row per batch of thousands of cells.
+    sizes = stages.keep("sizes", cells.groupBy("batch").agg(F.count("*").alias("n")))
     width = min(settings.top_features, n_features)
-    order = partition.permutation(cells.sparkSession, size, settings.seed).select(F.col("cell_idx").alias("at_batch"), "pos")
+    top = features.batch_top_dispersed(features.batch_dispersion(own, feature, sizes), width)
     # A batch has a bounded number of cells, so one task may number them.
-    placed = cells.withColumn("at_batch", (F.row_number().over(Window.orderBy("cell_idx")) - 1).cast("long")).join(order, "at_batch")
-    chunks = 1 if settings.smooth_batch_size > size else -(-size // settings.smooth_batch_size)
-    chunked = placed.withColumn("chunk", partition.chunk_of(F.col("pos"), size, chunks))
+    numbered = cells.join(F.broadcast(sizes), "batch").withColumn("at_batch", (F.row_number().over(Window.partitionBy("batch").orderBy("cell_idx")) - 1).cast("long"))
+    order = partition.permutations(cells.sparkSession, sizes, settings.seed).withColumnRenamed("cell_idx", "at_batch")
+    chunked = numbered.join(order, ["n", "at_batch"]).withColumn("chunk", partition.chunk_of(F.col("pos"), F.col("n"), partition.parts_of(F.col("n"), settings.smooth_batch_size)))
     scored = chunked.join(predicted.select("cell_id", F.col("order_score").cast("float").cast("double").alias("score"), "category"), "cell_id")
-    graph = scored.join(diffusion.sparse_vectors(own, top), "cell_id", "left")
-    smooth = diffusion.diffused(graph.select("chunk", "cell_id", "score", "at", "lg"), width)
-    binned = binning.rank_binned(scored.select("batch", "cell_id", "cell_idx", "category").join(smooth.select("cell_id", "smooth"), "cell_id"))
-    if size < settings.least_for_smoothing:
-        return binned.select("cell_idx", "cell_id", "category", "binned", F.col("binned").alias("score"))
-    rows = own.groupBy("cell_id").agg(F.collect_list("feature_idx").alias("at"), F.collect_list("lg").alias("lg"))
-    if size * n_features <= neighbours.DENSE_ENTRIES:
-        embed = neighbours.embedded(rows.select(F.lit(0).alias("batch"), "cell_id", "at", "lg"), n_features, settings.components)
-    else:
-        # Every pass of the process reads the rows again, so they are settled first.
-        embed = neighbours.embedded_at_large(settled(rows, "rows"), n_features, settings.components, settings.seed).withColumn("batch", F.lit(0))
-    near = neighbours.knn_smoothed(embed.join(binned.select("cell_id", F.col("binned").alias("score")), "cell_id"), settings.neighbours)
-    return binned.select("cell_idx", "cell_id", "category", "binned").join(near.select("cell_id", "score"), "cell_id")
+    graph = scored.join(diffusion.batch_sparse_vectors(own, top), "cell_id", "left")
+    smooth = diffusion.diffused(graph.select("batch", "chunk", "cell_id", "score", "at", "lg"), width)
+    binned = binning.rank_binned(scored.select("batch", "n", "cell_id", "cell_idx", "category").join(smooth.select("cell_id", "smooth"), "cell_id"))
+    binned = stages.keep("binned", binned.select("batch", "n", "cell_idx", "cell_id", "category", "binned"))
+    small = F.col("n") < settings.least_for_smoothing
+    alone = binned.where(small).withColumn("score", F.col("binned"))
+    large = sizes.where(~small).select("batch")
+    rows = own.join(F.broadcast(large), "batch").groupBy("batch", "cell_id").agg(F.collect_list("feature_idx").alias("at"), F.collect_list("lg").alias("lg"))
+    embed = _embedded(rows, own, sizes, n_features, settings)
+    near = neighbours.knn_smoothed(embed.join(binned.where(~small).select("cell_id", F.col("binned").alias("score")), "cell_id"), settings.neighbours)
+    smoothed = binned.where(~small).join(near.select("cell_id", "score"), "cell_id")
+    return smoothed.unionByName(alone).select("cell_idx", "cell_id", "category", "binned", "score")
+
+
+def _embedded(rows: DataFrame, own: DataFrame, sizes: DataFrame, n_features: int, settings: Settings) -> DataFrame:
+    """The batches' embeddings, each by one task; only batches that no task can hold are gone through one by one."""
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    entries = own.groupBy("batch").agg(F.count("*").alias("entries")).where(F.col("entries") > neighbours.TASK_ENTRIES)
+    too_large = [r["batch"] for r in entries.collect()] if most * n_features > neighbours.TASK_ENTRIES else []
+    if not too_large:
+        return neighbours.embedded(rows, n_features, settings.components, settings.seed)
+    # Every pass of the process reads the rows again, so they are settled first.
+    held = settled(rows, "rows")
+    out = neighbours.embedded(held.where(~F.col("batch").isin(too_large)), n_features, settings.components, settings.seed)
+    for batch in too_large:
+        part = neighbours.embedded_at_large(held.where(F.col("batch") == batch), n_features, settings.components, settings.seed)
+        out = out.unionByName(part.select(F.lit(batch).alias("batch"), "cell_id", "x"))
+    return out

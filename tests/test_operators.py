@@ -42,6 +42,48 @@ def test_alignment_rejects_two_inputs_for_one_feature(spark):
         mapping.aligned(expr, listed).collect()
 
 
+def test_statistics_of_nearly_constant_rows_do_not_cancel(spark):
+    lg = spark.createDataFrame([(1, j, 3.1) for j in range(1000)] + [(2, j, 1e6 + j % 2 * 1e-3) for j in range(1000)], "cell_id int, feature_idx int, lg double")
+    got = {r.cell_id: r for r in normalise.row_statistics(lg, 1000).collect()}
+    assert got[1].sd is None and got[2].sd == pytest.approx(5e-4, rel=1e-6)
+    disp = {r.feature_idx: r.disp for r in features.dispersion(lg.where("cell_id = 2").selectExpr("feature_idx as cell_id", "0 as feature_idx", "lg"), spark.createDataFrame([(0,)], "feature_idx int"), 1000).collect()}
+    assert 0 <= disp[0] == pytest.approx(2.5e-7 / 1e6, rel=1e-6)
+
+
+def test_batches_have_their_own_dispersion(spark):
+    lg = spark.createDataFrame([(0, 1, 0, 1.0), (0, 2, 0, 3.0), (1, 3, 0, 2.0), (1, 4, 1, 5.0)], "batch int, cell_id int, feature_idx int, lg double")
+    listed = spark.createDataFrame([(0,), (1,), (2,)], "feature_idx int")
+    sizes = spark.createDataFrame([(0, 2), (1, 4)], "batch int, n long")
+    disp = features.batch_dispersion(lg, listed, sizes)
+    got = {(r.batch, r.feature_idx): r.disp for r in disp.collect()}
+    assert got == {(0, 0): pytest.approx(0.5), (0, 1): 0.0, (0, 2): 0.0, (1, 0): pytest.approx(1.5), (1, 1): pytest.approx(3.75), (1, 2): 0.0}
+    top = {(r.batch, r.feature_idx): r.at for r in features.batch_top_dispersed(disp, 2).collect()}
+    assert top == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 1}
+
+
+def test_blocks_embed_as_dense_rows_do(spark, monkeypatch):
+    r = np.random.RandomState(3)
+    x = r.rand(300, 40) @ np.diag(np.linspace(3, 0.1, 40))
+    x[x < 0.4] = 0
+    rows = spark.createDataFrame([(i % 2, i, np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, v in enumerate(x)], "batch int, cell_id int, at array<int>, lg array<double>")
+    a = {q.cell_id: q.x for q in neighbours.embedded(rows, 40, 8).collect()}
+    from plurigrade.operators.neighbours import _embedding_by_blocks
+
+    for batch in (0, 1):
+        frame = rows.where(f"batch = {batch}").toPandas().sort_values("cell_id")
+        b = _embedding_by_blocks(frame, 40, 8, 14)
+        assert np.allclose(b, np.array([a[i] for i in frame["cell_id"]]), atol=1e-7)
+
+
+def test_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"\x00one")
+    (tmp_path / "b.bin").write_bytes(b"two")
+    got = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in compare.file_digests(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert got == {"a.bin": hashlib.sha256(b"\x00one").hexdigest(), "b.bin": hashlib.sha256(b"two").hexdigest()}
+
+
 def test_last_triple_wins_and_zeros_go(spark):
     t = spark.createDataFrame([(1, 0, 0, 5.0), (2, 0, 0, 0.0), (1, 0, 1, 0.0), (3, 0, 1, 2.0)], "seq int, r int, c int, v double")
     assert ensemble.last_triples(t).collect() == [(0, 1, 2.0)]
@@ -116,6 +158,23 @@ def test_knn_kernel_against_brute_force():
     assert np.allclose([want[i][1] for i in ids.tolist()], score)
 
 
+def test_consensus_of_missing_scores(spark):
+    r = np.random.RandomState(7)
+    ids, x, s = np.arange(40), r.rand(40, 3), r.rand(40)
+    s[[3, 9, 20]] = np.nan
+    keep, _ = neighbours.smooth_batch(ids, x, s, 12)
+    rows = spark.createDataFrame([(0, int(i), v.tolist()) for i, v in enumerate(x)], "batch int, cell_id int, x array<double>")
+    known = spark.createDataFrame([(int(i), None if np.isnan(v) else float(v)) for i, v in enumerate(s)], "j int, s double")
+    near = neighbours.knn(rows, 12).join(known, "j")
+    got = {q.i: q.keep for q in neighbours.consensus(near).collect()}
+    part = lambda v: -1 if np.isnan(v) else next(c for c in range(6) if round(v, 9) <= (c + 1) / 6)
+    for i in range(40):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        t = s[np.argsort(d, kind="stable")[:12]]
+        m = next((m for m in range(2, 7) if part(t[:m].mean()) == part(t[m : 2 * m].mean())), 2)
+        assert got[i] == keep[i] == 2 * m
+
+
 def test_missing_scores_spread():
     r = np.random.RandomState(2)
     s = r.rand(120)
@@ -171,5 +230,7 @@ def test_comparison_counts_masks_tolerance_and_labels(spark):
     assert (m["score"].n, m["score"].n_mask_mismatch, m["score"].n_outside) == (2, 1, 1) and m["score"].max_abs_delta == pytest.approx(0.2)
     assert m["potency"].n_mismatch == 1 and m["preknn_potency"].n_mismatch == 0
     assert compare.verdict(compare.compared(a, a), True) and not compare.verdict(compare.compared(a, b), True)
+    with pytest.raises(Exception, match="stands twice"):
+        compare.compared(a, b.unionByName(b.limit(1))).collect()
     assert compare.spearman(a, a, "score").first().rho == pytest.approx(1.0)
     assert compare.spearman(a, a, "preknn_score").first().rho is None
