@@ -35,21 +35,30 @@ def duplicates(names: DataFrame, column: str) -> DataFrame:
     return names.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """``cell_idx, cell_id, feature, value``, zeros left out, of a genes-by-cells text table.
-
-    The header holds the cell names only.  Repeated cell or feature names fail the read.
-    """
-    lines = spark.read.text(path)
-    header = lines.first()
+def _header(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """The first line, one entry per cell, and the cell names in it."""
+    header = spark.read.text(path).first()
     if header is None:
         raise ValueError(f"{path} is empty")
     names = header[0].rstrip("\r").split("\t")
     if len(set(names)) != len(names):
         raise ValueError(f"{path}: a cell name stands twice")
-    # The header is one line, one entry per cell.
+    return header[0], names
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """``cell_idx, cell_id`` of all cells of a text table, in their order."""
+    return spark.createDataFrame(list(enumerate(_header(spark, path)[1])), "cell_idx int, cell_id string")
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``cell_idx, cell_id, feature, value``, zeros left out, of a genes-by-cells text table.
+
+    The header holds the cell names only.  Repeated cell or feature names fail the read.
+    """
+    header, names = _header(spark, path)
     cells = spark.createDataFrame(list(enumerate(names)), "cell_idx int, cell_id string")
-    body = parsed_rows(lines.where(F.col("value") != header[0]), len(names))
+    body = parsed_rows(spark.read.text(path).where(F.col("value") != header), len(names))
     if not (again := duplicates(body.where("cell_idx = 0"), "feature")).isEmpty():
         raise ValueError(f"{path}: feature {again.first()[0]!r} stands twice")
     return body.where("value <> 0").join(F.broadcast(cells) if len(names) <= 1_000_000 else cells, "cell_idx").select("cell_idx", "cell_id", "feature", "value")

@@ -66,3 +66,39 @@ def test_model_order_and_gene_sets(spark):
     w = spark.createDataFrame([(0, 0, 0, 5, 0.5), (0, 0, 1, 5, -0.1)], "model int, layer int, k int, feature_idx int, weight double")
     assert arrays.gene_sets(w).collect() == [(0, 0, 0, 5)]
     assert w.where(F.lit(False)).count() == 0
+
+
+def test_assets_folder_is_the_configured_one_or_the_first_there_is(tmp_path):
+    from plurigrade.sources.arrays import assets_dir
+
+    assert assets_dir("/configured") == "/configured"
+    assert assets_dir(None, (str(tmp_path / "none"), str(tmp_path))) == str(tmp_path)
+    assert assets_dir(None, (str(tmp_path / "none"),)) is None
+
+
+def test_weights_become_model_tables(spark, tmp_path):
+    from plurigrade.sources import weights
+
+    r = np.random.RandomState(6)
+    (tmp_path / "models").mkdir()
+    made = {}
+    for m, name in enumerate(("b", "a")):
+        files = {}
+        for y in range(2):
+            files |= {f"layers.{y}.weight": r.randn(7, 3).astype("float32"), f"layers.{y}.maxrank": np.array([0.25 * y], dtype="float32"), f"layers.{y}.out.bias": np.array([y - 1.0], dtype="float32")}
+            files |= {f"layers.{y}.{f}": r.rand(6).astype("float32") for f in ("batchnorm.running_mean", "batchnorm.running_var", "out.weight")}
+        np.savez(tmp_path / "models" / f"{name}.npz", **files)
+        made[m] = files
+    np.savez(tmp_path / "graph.npz", indices=np.array([[0, 1, 0, 2], [1, 2, 1, 0]]), values=np.array([5.0, 2.0, 3.0, 0.0], dtype="float32"), shape=np.array([7, 7]))
+    order = spark.createDataFrame([(0, "b"), (1, "a")], "position int, model string")
+    weights.convert(spark, str(tmp_path / "models"), str(tmp_path / "graph.npz"), order, str(tmp_path / "out"))
+    got = weights.load(spark, str(tmp_path / "out"))
+    members = {(q.model, q.layer, q.feature_idx, q.k) for q in got["geneset"].collect()}
+    assert members == {(m, y, int(f), int(k)) for m, files in made.items() for y in range(2) for f, k in zip(*np.nonzero(files[f"layers.{y}.weight"] > 0), strict=True)}
+    assert {(q.model, q.layer): (q.maxrank, q.bias) for q in got["head"].collect()} == {(m, y): (0.25 * y, y - 1.0) for m in made for y in range(2)}
+    for q in got["weight"].collect():
+        files = made[q.model]
+        assert (q.rm, q.rv, q.ow) == tuple(float(files[f"layers.{q.layer}.{f}"][q.j]) for f in ("batchnorm.running_mean", "batchnorm.running_var", "out.weight"))
+    assert sorted(tuple(q) for q in got["background"].collect()) == [(0, 1, 3.0), (1, 2, 2.0)]
+    with pytest.raises(Exception, match="no such model"):
+        weights.model_tables(spark, str(tmp_path / "models"), order.where("position = 0"))["head"].collect()
