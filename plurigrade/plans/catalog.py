@@ -11,8 +11,9 @@ from plurigrade.functions import scalars
 from plurigrade.operators import binning, compare, diffusion, ensemble, mapping, neighbours, normalise, partition
 from plurigrade.operators import features as dispersed
 from plurigrade.plans import fixtures, oracle, potency
-from plurigrade.sources import matrix, sinks
-from plurigrade.sources.shared import running, settled
+from plurigrade.settings import Settings
+from plurigrade.sources import arrays, matrix, sinks
+from plurigrade.sources.shared import running, settled, shared_dir
 
 #: Places that results are rounded to, since sums run in any order.
 PLACES = 6
@@ -139,7 +140,7 @@ def dispersion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_features(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(dispersed.top_dispersed(_dispersion(spark, sf), 200), "disp")
+    return _rounded(dispersed.top_dispersed(_dispersion(spark, sf), GRAPH_FEATURES), "disp")
 
 
 def coo_last_wins(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +204,14 @@ def ensemble_argmax(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeded_permutation(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.permutation(spark, 100, 14)
+    """The shuffle of as many places as there are cells."""
+    return partition.permutation(spark, _cells(spark, sf).count(), 14)
+
+
+def batched_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells in shuffled batches of at most 40."""
+    cells = running(_cells(spark, sf), ["cell_id"], name="cell_idx")
+    return partition.batched(cells, cells.count(), 40, 14, least=10).select("cell_id", "cell_idx", "batch")
 
 
 def array_split_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,34 +221,41 @@ def array_split_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches for each table size in the catalog of nations: the rule alone."""
-    n, size = F.col("n_nationkey") * 450, F.lit(4000)
-    count = F.when((n < 1000) | (size > n), 1).otherwise(F.ceil(n / size)).cast("int")
-    return fixtures.table(spark, sf, "nation").select("n_nationkey", n.cast("long").alias("n"), count.alias("batches"))
+    """How many batches tables of several sizes come to."""
+    n = F.col("n_nationkey") * 450
+    return fixtures.table(spark, sf, "nation").select("n_nationkey", n.cast("long").alias("n"), partition.parts_of(n, 4000, 1000).alias("batches"))
 
 
-#: Features of the diffusion queries.
-GRAPH_FEATURES = 200
+#: Features of the diffusion queries, as a run has them.
+GRAPH_FEATURES = Settings().top_features
 
 
-def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    normal, listed, _ = _normal(spark, sf)
-    n = _cells(spark, sf).count()
+def _chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The cells in chunks of at most a run's size, in order of id, and the features they have."""
+    normal, listed, width = _normal(spark, sf)
+    ids = running(_cells(spark, sf), ["cell_id"], name="pos")
+    n = ids.count()
+    cells = ids.select("cell_id", partition.chunk_of(F.col("pos"), n, partition.parts_of(F.lit(n), Settings().smooth_batch_size)).alias("chunk"))
     top = dispersed.top_dispersed(dispersed.dispersion(normal, listed, n), GRAPH_FEATURES)
-    return diffusion.sparse_vectors(normal, top).select(F.lit(0).alias("chunk"), "cell_id", "at", "lg", (F.col("cell_id") % 10 / 10.0).alias("score"))
+    rows = diffusion.sparse_vectors(normal, top).join(cells, "cell_id").select("chunk", "cell_id", "at", "lg", (F.col("cell_id") % 10 / 10.0).alias("score"))
+    return rows, min(GRAPH_FEATURES, width)
 
 
 def chunk_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(diffusion.chunk_pairs(_chunks(spark, sf), GRAPH_FEATURES).select("i", "j", "w"), "w")
+    return _rounded(diffusion.chunk_pairs(*_chunks(spark, sf)).select("i", "j", "w"), "w")
 
 
 def markov_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(diffusion.chunk_pairs(_chunks(spark, sf), GRAPH_FEATURES, markov=True).select("i", "j", "w"), "w")
+    return _rounded(diffusion.chunk_pairs(*_chunks(spark, sf), markov=True).select("i", "j", "w"), "w")
 
 
 def diffusion_fixed_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """Five rounds; the stop by change is tested elsewhere."""
-    return _rounded(diffusion.diffused(_chunks(spark, sf), GRAPH_FEATURES, rounds=5, tolerance=0.0).select("cell_id", "smooth"), "smooth")
+    """Five rounds, as SQL can follow them; ``diffusion_fixed_point`` has the stop by change."""
+    return _rounded(diffusion.diffused(*_chunks(spark, sf), rounds=5, tolerance=0.0).select("cell_id", "smooth"), "smooth")
+
+
+def diffusion_fixed_point(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(diffusion.diffused(*_chunks(spark, sf)).select("cell_id", "smooth", "rounds"), "smooth")
 
 
 def rank_binning(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,12 +273,14 @@ def relative_minmax(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, sf: str) -> DataFrame:
+    """By the kernel, one batch."""
     rows = fixtures.points(spark, sf)
-    near = neighbours.nearest(neighbours.pair_distances(rows), 30)
+    near = neighbours.knn(rows.select(F.lit(0).alias("batch"), "cell_id", "x"), 30)
     return near.join(rows.select(F.col("cell_id").alias("j"), "s"), "j")
 
 
 def pair_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs, which is what the result holds."""
     return _rounded(neighbours.pair_distances(fixtures.points(spark, sf)), "d")
 
 
@@ -281,15 +298,25 @@ def knn_smooth(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(neighbours.knn_smoothed(rows, 30).select("cell_id", "keep", "score"), "score")
 
 
-def pca_distance(spark: SparkSession, sf: str) -> DataFrame:
+def _embedded_gaps(spark: SparkSession, sf: str, components: int) -> DataFrame:
     """Distances between neighbours in id of the embedding, which signs do not change."""
     rows = fixtures.points(spark, sf)
     wide = rows.select(F.lit(0).alias("batch"), "cell_id", F.sequence(F.lit(0), F.lit(63)).alias("at"), F.col("x").alias("lg"))
-    e = neighbours.embedded(wide, 64, 30)
+    e = neighbours.embedded(wide, 64, components)
     after = e.select((F.col("cell_id") - 1).alias("cell_id"), F.col("x").alias("y"))
     return _rounded(e.join(after, "cell_id").select("cell_id", F.sqrt(scalars.squared_distance(F.col("x"), F.col("y"))).alias("d")), "d")
 
 
+def pca_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """All components, which keep the distances of the scaled rows."""
+    return _embedded_gaps(spark, sf, 64)
+
+
+def pca30_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """As many components as a run takes."""
+    return _embedded_gaps(spark, sf, Settings().components)
+
+
 def compare_results(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(compare.compared(fixtures.results(spark, sf, False), fixtures.results(spark, sf, True), atol=0.3), "max_abs_delta", "mean_delta")
 
@@ -314,6 +341,72 @@ def result_lines(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.result_lines(rows)
 
 
+def result_exponents(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of all sizes, spelt as result tables have them and read again."""
+    o = fixtures.table(spark, sf, "orders").select("o_orderkey", F.concat((1 + F.col("o_orderkey") % 9).cast("string"), F.lit("e"), (F.col("o_orderkey") % 37 - 18).cast("string")).cast("double").alias("x"))
+    return o.select("o_orderkey", scalars.parsed_number(scalars.number_text(F.col("x"))).alias("value"))
+
+
+def matrix_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix written as a text table and read back, its structure checked on the way."""
+    expr = fixtures.expression(spark, sf)
+    order = [r[0] for r in expr.select("cell_id").distinct().orderBy("cell_id").collect()]  # the header of a text table: one name per column
+    cells = spark.createDataFrame(list(enumerate(order)), "cell_idx int, cell_id long")
+    values = expr.join(cells, "cell_id").groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("cell_idx", "value"))).alias("m"))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(len(order) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("string"))
+    lines = values.select(F.lit(1).alias("at"), F.concat_ws("\t", "feature", F.array_join(tokens, "\t")).alias("value"))
+    header = spark.createDataFrame([(0, "\t".join(map(str, order)))], "at int, value string")
+    path = shared_dir(spark, "matrix")
+    header.unionByName(lines).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return matrix.read_matrix(spark, path).select(F.col("cell_id").cast("long").alias("cell_id"), "feature", "value")
+
+
+def line_list(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark, "lines")
+    rows = fixtures.table(spark, sf, "part").select(F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_name")).alias("value"))
+    rows.write.text(path)
+    return matrix.read_lines(spark, path)
+
+
+def pair_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of two columns in which the last line of a key counts, and lines without tab do not."""
+    path = shared_dir(spark, "pairs")
+    p = fixtures.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).otherwise(F.concat_ws("\t", "p_type", F.col("p_partkey").cast("string"))).alias("value"))
+    p.coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(path)
+    return matrix.read_pairs(spark, path)
+
+
+def result_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A result table written and read back."""
+    o = fixtures.table(spark, sf, "orders")
+    price = F.round("o_totalprice", 2)
+    rows = o.select(F.col("o_orderkey").alias("cell_idx"), F.col("o_orderkey").alias("cell_id"), F.when(F.col("o_orderkey") % 9 != 2, price).alias("score"), F.when(F.col("o_orderkey") % 7 != 1, F.col("o_orderstatus")).alias("potency"), (F.col("o_orderkey") % 64 / 64.0).alias("relative"), (-price).alias("preknn_score"), F.col("o_orderstatus").alias("preknn_potency"))
+    path = shared_dir(spark, "results")
+    sinks.write_results(rows, path, single=True)
+    return matrix.read_results(spark, path).drop("row")
+
+
+def gene_set_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The sets of a table of weights."""
+    p = fixtures.table(spark, sf, "part")
+    weights = p.select((F.col("p_partkey") % 3).cast("int").alias("model"), (F.col("p_partkey") % 6).cast("int").alias("layer"), (F.col("p_size") % 4).cast("int").alias("k"), F.col("p_partkey").cast("int").alias("feature_idx"), (F.col("p_partkey") % 5 - 2).cast("double").alias("weight"))
+    return arrays.gene_sets(weights)
+
+
+def aligned_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignment to every other feature, with the check for two inputs of one feature."""
+    expr = fixtures.expression(spark, sf)
+    listed = mapping.feature_list(expr).where(F.col("feature_idx") % 2 == 0)
+    return mapping.aligned(expr, listed)
+
+
+def file_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of a file of names."""
+    path = shared_dir(spark, "names")
+    fixtures.table(spark, sf, "nation").select("n_name").coalesce(1).sortWithinPartitions("n_name").write.text(path)
+    return compare.file_digests(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)).select("sha256")
+
+
 def flagship_potency(spark: SparkSession, sf: str) -> DataFrame:
     """The whole run: alignment to relative scores."""
     expr = settled(fixtures.expression(spark, sf), "expression")
@@ -322,11 +415,11 @@ def flagship_potency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = (
-    expr_matrix, expr_unpivot, dup_names, number_tokens, model_order, alias_map, ortholog_map, ortholog_double_top_hit, feature_coverage,
+    expr_matrix, expr_unpivot, matrix_text, line_list, pair_table, result_table, gene_set_members, file_sums, dup_names, number_tokens, model_order, alias_map, ortholog_map, ortholog_double_top_hit, feature_coverage, aligned_strict,
     cpm_log2, avg_rank_desc, row_zscore, col_center, qc_lowcount, log_like_check, dispersion, top_features, coo_last_wins, background_product, geneset_sizes,
-    geneset_rank_score, geneset_mean_vs_bg, head_logits, softmax_order, ensemble_mean, ensemble_argmax, seeded_permutation, array_split_chunks, batch_plan,
-    chunk_correlation, markov_matrix, diffusion_fixed_steps, rank_binning, bin_label, relative_minmax, pair_distance, knn30, shortest_consensus, knn_smooth, pca_distance,
-    compare_results, result_identity, cells_in_one, spearman_pair, result_lines, flagship_potency,
+    geneset_rank_score, geneset_mean_vs_bg, head_logits, softmax_order, ensemble_mean, ensemble_argmax, seeded_permutation, array_split_chunks, batch_plan, batched_cells,
+    chunk_correlation, markov_matrix, diffusion_fixed_steps, diffusion_fixed_point, rank_binning, bin_label, relative_minmax, pair_distance, knn30, shortest_consensus, knn_smooth, pca_distance, pca30_distance,
+    compare_results, result_identity, cells_in_one, spearman_pair, result_lines, result_exponents, flagship_potency,
 )
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import cache
 
-import numpy as np
-
 _EXPR = """expr AS (
   SELECT l_suppkey AS cell_id, p_brand || '_' || p_size AS feature, SUM(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
 ), feat AS (
@@ -82,15 +80,19 @@ _LOGITS = (
 _GRAPH = (
     _DISP
     + """, top AS (
-  SELECT feature_idx FROM disp ORDER BY round(disp, 9) DESC, feature_idx LIMIT 200
+  SELECT feature_idx FROM disp ORDER BY round(disp, 9) DESC, feature_idx LIMIT 1000
+), numbered AS (
+  SELECT cell_id, row_number() OVER (ORDER BY cell_id) - 1 AS pos, COUNT(*) OVER () AS n, CASE WHEN 1000 > COUNT(*) OVER () THEN 1 ELSE CAST(ceil(COUNT(*) OVER () / 1000e0) AS BIGINT) END AS p FROM cells
+), chunked AS (
+  SELECT cell_id, CASE WHEN pos < n % p * (n // p + 1) THEN pos // (n // p + 1) ELSE n % p + (pos - n % p * (n // p + 1)) // GREATEST(n // p, 1) END AS chunk FROM numbered
 ), vec AS (
-  SELECT cell_id, feature_idx, lg FROM ln WHERE feature_idx IN (SELECT feature_idx FROM top)
+  SELECT cell_id, chunk, feature_idx, lg FROM ln JOIN chunked USING (cell_id) WHERE feature_idx IN (SELECT feature_idx FROM top)
 ), cor AS (
-  SELECT a.cell_id AS i, b.cell_id AS j, corr(a.lg, b.lg) AS w FROM vec a JOIN vec b USING (feature_idx) GROUP BY 1, 2
+  SELECT ANY_VALUE(a.chunk) AS chunk, a.cell_id AS i, b.cell_id AS j, corr(a.lg, b.lg) AS w FROM vec a JOIN vec b ON a.feature_idx = b.feature_idx AND a.chunk = b.chunk GROUP BY a.cell_id, b.cell_id
 ), open AS (
-  SELECT i, j, CASE WHEN i = j OR NOT isfinite(w) THEN 0e0 ELSE w END AS w FROM cor
+  SELECT chunk, i, j, CASE WHEN i = j OR NOT isfinite(w) THEN 0e0 ELSE w END AS w FROM cor
 ), cut AS (
-  SELECT i, j, CASE WHEN w < GREATEST((SELECT AVG(w) FROM open), 0) THEN 0e0 ELSE w END AS w FROM open
+  SELECT i, j, CASE WHEN w < GREATEST(AVG(w) OVER (PARTITION BY chunk), 0) THEN 0e0 ELSE w END AS w FROM open
 ), a AS (
   SELECT i, j, w / (SUM(w) OVER (PARTITION BY i) + 1e-5) AS w FROM cut
 )"""
@@ -177,9 +179,6 @@ def _label(name: str) -> str:
 
 @cache
 def sql() -> dict[str, str]:
-    order = np.arange(100)
-    np.random.RandomState(14).shuffle(order)
-    places = ", ".join(f"({c}, {i})" for i, c in enumerate(order.tolist()))
     labels = "['Differentiated', 'Unipotent', 'Oligopotent', 'Multipotent', 'Pluripotent', 'Totipotent']"
     cat = _category("t")
     return {
@@ -204,7 +203,7 @@ def sql() -> dict[str, str]:
         "qc_lowcount": f"WITH {_DENSE} SELECT COUNT(*) AS n_cells, COUNT(*) FILTER (n < 500) AS n_low, COUNT(*) FILTER (n < 500) / CAST(COUNT(*) AS DOUBLE) >= 0.2e0 AS warn FROM (SELECT cell_id, COUNT(*) FILTER (lg > 0) AS n FROM ln GROUP BY 1)",
         "log_like_check": f"WITH {_EXPR} SELECT GREATEST(MAX(value), 0e0) AS top, GREATEST(MAX(value), 0e0) <= 20 AS warn FROM expr",
         "dispersion": f"WITH {_DISP} SELECT feature_idx, round(disp, 6) + 0e0 AS disp FROM disp",
-        "top_features": f"WITH {_DISP} SELECT feature_idx, round(disp, 6) + 0e0 AS disp FROM disp ORDER BY round(disp.disp, 9) DESC, feature_idx LIMIT 200",
+        "top_features": f"WITH {_DISP} SELECT feature_idx, round(disp, 6) + 0e0 AS disp FROM disp ORDER BY round(disp.disp, 9) DESC, feature_idx LIMIT 1000",
         "coo_last_wins": """SELECT r, c, v FROM (SELECT l_partkey % 300 AS r, l_suppkey % 50 AS c, l_quantity % 5 AS v, row_number() OVER (PARTITION BY l_partkey % 300, l_suppkey % 50 ORDER BY l_orderkey * 10 + l_linenumber DESC, l_quantity % 5 DESC) AS rn FROM lineitem) WHERE rn = 1 AND v <> 0""",
         "background_product": f"WITH {_MODEL} SELECT model, layer, k, feature_idx, round(gs, 6) + 0e0 AS gs FROM gs",
         "geneset_sizes": f"WITH {_MODEL} SELECT model, layer, k, n, round(maxrank, 6) + 0e0 AS maxrank, n * (n + 1) / 2e0 AS half, round(n * maxrank, 6) + 0e0 AS denom FROM sizes",
@@ -215,7 +214,6 @@ def sql() -> dict[str, str]:
         "ensemble_mean": f"""WITH {_LOGITS} SELECT cell_id, o.order_score, t.top_prob FROM (SELECT cell_id, round(AVG(order_score), 6) + 0e0 AS order_score FROM per_model GROUP BY 1) o
             JOIN (SELECT cell_id, round(MAX(p), 6) + 0e0 AS top_prob FROM means GROUP BY 1) t USING (cell_id)""",
         "ensemble_argmax": f"WITH {_LOGITS} SELECT cell_id, layer AS category FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY p DESC, layer) AS rn FROM means) WHERE rn = 1",
-        "seeded_permutation": f"SELECT CAST(column0 AS BIGINT) AS cell_idx, CAST(column1 AS BIGINT) AS pos FROM (VALUES {places}) AS t(column0, column1)",
         "array_split_chunks": """WITH o AS (SELECT o_orderkey AS cell_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, COUNT(*) OVER () AS n FROM orders)
             SELECT cell_id, CAST(CASE WHEN pos < n % 7 * (n // 7 + 1) THEN pos // (n // 7 + 1) ELSE n % 7 + (pos - n % 7 * (n // 7 + 1)) // GREATEST(n // 7, 1) END AS INTEGER) AS chunk FROM o""",
         "batch_plan": "SELECT n_nationkey, CAST(n_nationkey * 450 AS BIGINT) AS n, CAST(CASE WHEN n_nationkey * 450 < 1000 OR 4000 > n_nationkey * 450 THEN 1 ELSE ceil(n_nationkey * 450 / 4000e0) END AS INTEGER) AS batches FROM nation",
@@ -230,6 +228,17 @@ def sql() -> dict[str, str]:
         "knn30": f"WITH {_POINTS} SELECT i, j, CAST(rn AS INTEGER) AS rn FROM near",
         "shortest_consensus": f"WITH {_KEEP} SELECT i, keep FROM keep",
         "knn_smooth": f"WITH {_KEEP} SELECT i AS cell_id, ANY_VALUE(keep) AS keep, round(SUM(s * (1 - d) * (1 - d)) / SUM((1 - d) * (1 - d)), 6) + 0e0 AS score FROM near JOIN keep USING (i) WHERE rn <= keep GROUP BY 1",
+        "pca_distance": """WITH z AS (SELECT vec_id, list_transform(x, lambda v: (v - mu) / sd) AS z FROM (SELECT vec_id, x, list_avg(x) AS mu, list_stddev_pop(x) AS sd FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)))
+            SELECT a.vec_id AS cell_id, round(list_distance(a.z, b.z), 6) + 0e0 AS d FROM z a JOIN z b ON b.vec_id = a.vec_id + 1""",
+        "matrix_text": f"WITH {_EXPR} SELECT * FROM expr",
+        "line_list": "SELECT p_name AS value FROM part WHERE p_partkey % 5 <> 0",
+        "pair_table": "SELECT p_type AS alias, CAST(MAX(p_partkey) AS VARCHAR) AS target FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1",
+        "result_table": """SELECT CAST(o_orderkey AS VARCHAR) AS cell_id, CASE WHEN o_orderkey % 9 <> 2 THEN round(o_totalprice, 2) END AS score, CASE WHEN o_orderkey % 7 <> 1 THEN o_orderstatus END AS potency,
+            o_orderkey % 64 / 64e0 AS relative, -round(o_totalprice, 2) AS preknn_score, o_orderstatus AS preknn_potency FROM orders""",
+        "gene_set_members": "SELECT CAST(p_partkey % 3 AS INTEGER) AS model, CAST(p_partkey % 6 AS INTEGER) AS layer, CAST(p_size % 4 AS INTEGER) AS k, CAST(p_partkey AS INTEGER) AS feature_idx FROM part WHERE p_partkey % 5 > 2",
+        "aligned_strict": f"WITH {_EXPR} SELECT cell_id, feature_idx, value FROM expr JOIN feat USING (feature) WHERE feature_idx % 2 = 0 AND value <> 0",
+        "file_sums": "SELECT sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha256 FROM nation",
+        "result_exponents": "SELECT o_orderkey, CAST(1 + o_orderkey % 9 || 'e' || (o_orderkey % 37 - 18) AS DOUBLE) AS value FROM orders",
         "compare_results": f"WITH {_RESULTS} " + " UNION ALL ".join([*map(_number, ("score", "relative", "preknn_score")), *map(_label, ("potency", "preknn_potency"))]),
         "result_identity": f"WITH {_RESULTS} SELECT COUNT(a.cell_id) AS n_a, COUNT(b.cell_id) AS n_b, COUNT(*) FILTER (a.cell_id IS NOT NULL AND b.cell_id IS NOT NULL) AS n_both FROM ra a FULL JOIN rb b ON a.cell_id = b.cell_id",
         "cells_in_one": f"WITH {_RESULTS} SELECT cell_id, 'a' AS side FROM ra WHERE cell_id NOT IN (SELECT cell_id FROM rb) UNION ALL SELECT cell_id, 'b' FROM rb WHERE cell_id NOT IN (SELECT cell_id FROM ra)",
