@@ -31,7 +31,7 @@ from plurigrade.llm.bpe import codec, take_ranges
 from plurigrade.llm.common import slices, small_batches, texts_of
 
 #: Ids after which a shard is closed; a longer document makes a longer shard.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 #: A pair is replaced if it stands at least so often: rules for rarer pairs take more room than they save.
 LEAST = 8
 #: Most slots of the table that counts pairs, as a power of two: it should fit a core's cache.
@@ -56,25 +56,27 @@ def _ranked(key: np.ndarray, odd: np.ndarray, turn: int) -> tuple[np.ndarray, np
     slots = 1 << bits
     slot = ((key.view(np.uint64) * (_HASH + np.uint64(2 * turn))) >> np.uint64(64 - bits)).astype(np.int32)
     holder = np.empty(slots, dtype=np.int64)
-    holder[slot[::-1]] = key[::-1]
-    mine = holder[slot] == key
+    holder[slot] = key
+    other = holder[slot] != key
     # What does not count goes to a slot beyond the table.
-    counted = np.where(mine & ~odd, slot, np.int32(slots))
+    counted = slot.copy()
+    counted[other] = slots
+    counted[odd] = slots
     count = np.bincount(counted, minlength=slots + 1)[:slots]
     frequent = np.flatnonzero(count >= LEAST)
     frequent = frequent[np.lexsort((holder[frequent], -count[frequent]))]
     rank_of = np.full(slots + 1, _NEVER, dtype=np.int32)
     rank_of[frequent] = np.arange(len(frequent), dtype=np.int32)
-    return rank_of[counted], ~mine | (rank_of[slot] < _NEVER), holder[frequent]
+    own = rank_of[counted]
+    going = other | (own < _NEVER)
+    going[odd] |= rank_of[slot[odd]] < _NEVER
+    return own, going, holder[frequent]
 
 
-def _odd(twin: np.ndarray, joined: np.ndarray, n: int) -> np.ndarray:
+def _odd(twin: np.ndarray, joined: np.ndarray) -> np.ndarray:
     """Every other pair of runs of one symbol; ``twin`` are the pairs of equal symbols, ``joined`` those that overlap the one before."""
-    odd = np.zeros(n, dtype=bool)
-    if len(twin):
-        place = np.arange(len(twin))
-        odd[twin] = (place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 1
-    return odd
+    place = np.arange(len(twin))
+    return twin[(place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 1] if len(twin) else twin
 
 
 def _ruled(own: np.ndarray, won: np.ndarray, pairs: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +105,7 @@ def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
     active = np.ones(len(s), dtype=bool)
     while turn < WHOLE and len(s) > LEAST:
         twin = np.flatnonzero(s[:-1] == s[1:])
-        own, going, pairs = _ranked((s[:-1] << 32) | s[1:], _odd(twin, np.diff(twin, prepend=-2) == 1, len(s) - 1), turn)
+        own, going, pairs = _ranked((s[:-1] << 32) | s[1:], _odd(twin, np.diff(twin, prepend=-2) == 1), turn)
         turn += 1
         rank = np.full(len(s) + 1, _NEVER, dtype=np.int32)
         rank[1:-1] = own
@@ -126,7 +128,7 @@ def compress(ids: np.ndarray, terminals: int) -> dict[str, np.ndarray]:
         a, to = s[at], after[at]
         b = s[to]
         twin = np.flatnonzero(a == b)
-        own, going, pairs = _ranked((a << 32) | b, _odd(twin, np.append(False, to[twin[:-1]] == at[twin[1:]])[: len(twin)], len(at)), turn)
+        own, going, pairs = _ranked((a << 32) | b, _odd(twin, np.append(False, to[twin[:-1]] == at[twin[1:]])[: len(twin)]), turn)
         turn += 1
         # The first place has no pair before it: index -1 is the last, which never ranks.
         rank[at] = own
