@@ -5,14 +5,16 @@ tree over its bins to that feature's lookup table, fitted to the gradient of the
 whose joint bins best explain what is left get tables of their own.  A score is the sum of one table entry per feature
 and pair, taken for all rows of a batch at once.
 
-Training rows are a sample of at most about ``sample`` labelled rows, chosen by a hash of the id; their features are the
-only thing gathered on the driver.  Null and empty texts have all-zero features and a score like any other.  Rows whose
-label is null are not learnt from; with no label of either kind left, every score is the prior.  Repeated rows give repeated
-results.  Only the id and text columns are read.
+Training rows are a sample of at most about ``sample`` labelled ids, chosen by a hash of the id, and of each id at most
+one text, the smallest by checksum, counted up to ``COPIES`` times; their features are the only thing gathered on the driver.  Null and
+empty texts have all-zero features and a score like any other.  Rows whose label is null are not learnt from; with no label
+of either kind left, every score is the prior.  Repeated rows give repeated results, an empty table an empty one.  A very
+long text is measured whole.  Only the id and text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -26,6 +28,8 @@ from plurigrade.llm.common import slices, small_batches, texts_of
 
 #: Labelled rows that a model is fitted on, about; their features are some 3 MB on the driver.
 SAMPLE = 20_000
+#: Rows of one id and text that count in training.
+COPIES = 4
 BINS, ROUNDS, RATE, LEAVES, PAIRS, PAIR_BINS, PAIR_ROUNDS, RIDGE = 64, 60, 0.15, 4, 6, 8, 20, 5.0
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "bars", "exclamations", "stops", "commas", "beyond_ascii", "white",
@@ -159,12 +163,6 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        x = [features(t) for t in texts_of(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["key", "x"])
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> AdditiveModel:
     """A model of the labelled documents that are not held out, or of a hash sample of them if they are more than ``sample``."""
     small_batches(docs.sparkSession)
@@ -172,18 +170,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     count = usable.count()
     part = min(1.0, sample / max(1, count))
-    chosen = usable.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1_000_000)) < int(part * 1_000_000)).limit(2 * sample)
-    # At most 2 * sample ids are broadcast.
+    drawn = usable.withColumn("draw", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1_000_000))).where(F.col("draw") < int(part * 1_000_000))
+    # At most 2 * sample ids are broadcast; the hash leaves about sample, and ties at the bound go by id.
+    chosen = drawn.orderBy("draw", "key").limit(2 * sample).select("key", "label")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("value")).join(F.broadcast(chosen), "key")
-    firsts = rows.mapInArrow(lambda it: _labelled(it), f"key {kind}, x array<double>, label double").limit(4 * sample).toPandas().sort_values(["key", "label"], kind="stable")
+    measured = rows.mapInArrow(lambda it: _labelled(it), f"key {kind}, x array<double>, label double, mark long")
+    # Repeated ids and texts have one result whatever rows come first: counted per text, then the smallest few of an id.
+    counted = measured.groupBy("key", "mark").agg(F.min("x").alias("x"), F.min("label").alias("label"), F.least(F.count("*"), F.lit(COPIES)).cast("int").alias("n"))
+    kept = counted.groupBy("key").agg(F.min(F.struct("mark", "x", "label", "n")).alias("one")).select("key", "one.x", "one.label", "one.n")
+    firsts = kept.toPandas().sort_values(["key", "label"], kind="stable")
+    firsts = firsts.loc[firsts.index.repeat(firsts["n"])]
     x = np.array(firsts["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, firsts["label"].to_numpy(dtype=float))
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = [features(t) for t in texts_of(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2).cast(pa.float64())], ["key", "x", "label"])
+    for batch in slices(batches):
+        texts = texts_of(batch.column(1))
+        x, mark = [features(t) for t in texts], [zlib.crc32(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2).cast(pa.float64()), pa.array(mark, pa.int64())], ["key", "x", "label", "mark"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

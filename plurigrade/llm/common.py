@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Rows of one Arrow batch sent to Python; long texts make larger batches than this is worth.
 ARROW_ROWS = 2000
@@ -52,6 +53,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def map_rows(docs: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` after ``mapInArrow`` with all columns; they go by number meanwhile, since names with dots would not be found."""
+    fields = [StructField(f"c{i}", f.dataType, f.nullable, f.metadata) for i, f in enumerate(docs.schema.fields)]
+    return docs.toDF(*(f.name for f in fields)).mapInArrow(function, StructType(fields)).toDF(*docs.columns)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null text is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

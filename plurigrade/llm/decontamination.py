@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurigrade.llm.common import slices, small_batches, stored, texts_of
+from plurigrade.llm.common import map_rows, slices, small_batches, stored, texts_of
 
 #: Lower-cases A-Z and blanks every byte that belongs to no word; UTF-8 bytes of other characters stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -208,11 +208,11 @@ def _cleaned(batches: Iterator[pa.RecordBatch], shared, column: int, min_items:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Documents, all columns and last their hit ranges, without those ranges."""
+    """Documents, all columns and last their hit ranges, their texts without those ranges."""
     for batch in batches:
         old, ranges = batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         new = pa.array([_without(o.encode(), r).decode() if r else o for o, r in zip(old, ranges, strict=True)], batch.schema.field(column).type)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:column], new, *batch.columns[column + 1 : -1]], batch.schema.names[:-1])
+        yield batch.set_column(column, batch.schema.field(column), new)
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2, block_windows: int = BLOCK, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -221,15 +221,15 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2, blo
     The first and last word of a hit range and all between them go; documents without a hit stay as they are.
     """
     small_batches(docs.sparkSession)
-    column, schema = docs.columns.index(text), docs.schema
+    column = docs.columns.index(text)
     blocks = _blocks(items, n, block_windows, item_key, item_text)
     if len(blocks) == 1:
         shared = docs.sparkSession.sparkContext.broadcast(_window_set(blocks[0]))
-        return docs.mapInArrow(lambda it: _cleaned(it, shared, column, min_items), schema)
+        return map_rows(docs, lambda it: _cleaned(it, shared, column, min_items))
     whole = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "numbered")
     hits = _united(whole.select(F.col("row").alias("key"), F.col("doc")[text].alias("value")), blocks, "bigint")
     kept = whole.join(hits.where(F.size("items") < min_items), F.col("row") == F.col("key")).select("doc.*", F.col("hit").alias("__hit_ranges"))
-    return kept.mapInArrow(lambda it: _cut(it, column), schema)
+    return map_rows(kept, lambda it: _cut(it, column)).toDF(*docs.columns, "__hit_ranges").drop("__hit_ranges")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurigrade.llm.common import slices, small_batches
+from plurigrade.llm.common import map_rows, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the field may find: the base kinds, and one that has no base spans.  Label 0 is no personal data.
@@ -618,4 +618,4 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents, all columns, with every span replaced by its kind in brackets."""
     small_batches(docs.sparkSession)
     model, column = trained(), docs.columns.index(text)
-    return docs.mapInArrow(lambda it: _masked(it, model, column), docs.schema)
+    return map_rows(docs, lambda it: _masked(it, model, column))

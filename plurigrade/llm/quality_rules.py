@@ -3,8 +3,9 @@
 Words are runs of anything but ASCII white space.  The measures are counted with built-in expressions over the word and
 line arrays of a row; :data:`RULES` bounds their ratios, and :func:`compiled` turns the table into one Boolean column.
 
-Null text has no words, so it fails the base rule.  Repeated rows give repeated results.  :func:`measures` reads only the
-id and text columns; :func:`kept` carries all columns through under their own names.
+Null text has no words, so it fails the base rule.  Repeated rows give repeated results, an empty table an empty one.  A very
+long text is measured whole, in one row.  :func:`measures` reads only the id and text columns; :func:`kept` carries all
+columns through under their own names.
 """
 
 from __future__ import annotations

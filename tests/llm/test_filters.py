@@ -299,6 +299,55 @@ def test_classifier_learns_from_the_train_part_only(spark):
     assert all(0 <= g.score <= 1 and g.predicted == int(g.score >= 0.5) for g, _ in rows)
 
 
+def plain_tree(g, h, leaves):
+    """Greedy splits of ordered bins by the second-order gain, gone through one by one."""
+    value = lambda a, b: sum(g[a:b]) / (sum(h[a:b]) + additive_model.RIDGE)
+    gain = lambda a, b: sum(g[a:b]) * value(a, b)
+    parts = [(0, len(g))]
+    while len(parts) < leaves:
+        cuts = [(gain(a, c) + gain(c, b) - gain(a, b), (a, b), c) for a, b in parts for c in range(a + 1, b)]
+        best = max(cuts, key=lambda x: x[0], default=None)
+        if best is None or best[0] <= 1e-9:
+            break
+        parts.remove(best[1])
+        parts += [(best[1][0], best[2]), (best[2], best[1][1])]
+    return [next(value(a, b) for a, b in parts if a <= i < b) for i in range(len(g))]
+
+
+def test_trees_against_brute_force():
+    r = np.random.RandomState(4)
+    for n in (1, 2, 3, 8, 20):
+        for leaves in (1, 2, 4):
+            g, h = r.randn(n), r.rand(n)
+            assert np.allclose(additive_model._tree(g, h, leaves), plain_tree(g.tolist(), h.tolist(), leaves))
+
+
+def test_odds_are_sums_of_table_entries():
+    r = np.random.RandomState(5)
+    x = np.round(r.rand(600, 5), 2)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = additive_model.fit(x, y)
+    assert (0, 1) in [p[:2] for p in model.pairs]
+    want = []
+    for row in x:
+        total = model.prior
+        b = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total += sum(t[k] for t, k in zip(model.tables, b, strict=True))
+        total += sum(t[b[j] * additive_model.PAIR_BINS // (len(model.edges[j]) + 1), b[k] * additive_model.PAIR_BINS // (len(model.edges[k]) + 1)] for j, k, t in model.pairs)
+        want.append(total)
+    assert np.allclose(model.odds(x), want)
+    # The pairs make the model see what no feature alone tells.
+    assert ((model.score(x) >= 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    many = d.unionByName(d).unionByName(d.limit(50))
+    a, b = additive_model.train(many.repartition(1), y, sample=40), additive_model.train(many.repartition(7, "text"), y, sample=40)
+    assert a.prior == b.prior and all(np.array_equal(u, v) for u, v in zip(a.tables, b.tables, strict=True))
+
+
 def test_classifier_of_odd_tables(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (8, None, 0), (None, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     model = additive_model.train(docs, labels)
