@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages, each an operator of ``plurigrade.llm`` over all that its predecessor kept."""
+"""A corpus pipeline of five stages, each an operator of ``plurigrade.llm`` over all that its predecessor kept.
+
+Documents with null or empty text have no words, so the quality rules reject them.  Of rows that repeat, one stays, as of any
+group of near-duplicates: the one with the smallest id, a row without id only if none of its group has one.  Very long texts
+are taken whole by every stage.  An empty table passes through empty, and without benchmark items nothing is cut.  All
+columns of the documents are carried along up to the last stage, whatever their names; ``n_chars``, if there is one, follows
+the text.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurigrade.llm import bpe, decontamination, pii, quality_rules, simhash
-from plurigrade.llm.common import stored
+from plurigrade.llm.common import drop_stored, stored
 from plurigrade.llm.queries import table, tokenizer_path
 
 
@@ -48,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, each on the stored rows of the one before."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, stored(docs, "stage") if i else docs, sf_dir)
-    return docs
+    """All stages, one after the other, each on the stored rows of the one before; a stage's rows go once the next are stored."""
+    docs, held = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+        if held is not None:
+            drop_stored(held)
+        held = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
