@@ -35,16 +35,16 @@ def score(expr: DataFrame, feature: DataFrame, model: dict[str, DataFrame], sets
     placed = cells.select(F.col("cell_idx").cast("long").alias("cell_idx"), "cell_id") if cells is not None else running(ids, ["cell_id"], name="cell_idx")
     cells = partition.batched(placed, n, settings.batch_size, settings.seed, settings.least_for_batches)
     cells = stages.keep("cells", cells.select("cell_id", "cell_idx", "batch"))
-    normal = stages.keep("normalised", normalise.normalised(sparse, n_features))
+    # The batch joins where rows lie by cell already, and every later step reads it from the stage.
+    normal = stages.keep("normalised", normalise.normalised(sparse, n_features).join(cells.select("cell_id", "batch"), "cell_id"))
     predicted = stages.keep("predicted", ensemble.predictions(normal, model["geneset"], model["background"], model["head"], model["weight"], n_features, sets))
-    final = binning.relative(stages.keep("scored", _scored(cells, normal, predicted, feature, n_features, settings, stages)))
     # The least and greatest score are needed before any row is final.
+    final = binning.relative(stages.keep("scored", _scored(cells, normal, predicted, feature, n_features, settings, stages)))
     return final.select("cell_idx", "cell_id", "score", category_label(F.col("score")).alias("potency"), "relative", F.col("binned").alias("preknn_score"), named(F.col("category")).alias("preknn_potency"))
 
 
-def _scored(cells: DataFrame, normal: DataFrame, predicted: DataFrame, feature: DataFrame, n_features: int, settings: Settings, stages: Stages) -> DataFrame:
+def _scored(cells: DataFrame, own: DataFrame, predicted: DataFrame, feature: DataFrame, n_features: int, settings: Settings, stages: Stages) -> DataFrame:
     """``cell_idx, cell_id, category, binned, score`` of all batches in one plan; ``batch`` is a column all the way."""
-    own = normal.join(cells.select("cell_id", "batch"), "cell_id")
     # One row per batch of thousands of cells.
     sizes = stages.keep("sizes", cells.groupBy("batch").agg(F.count("*").alias("n")))
     width = min(settings.top_features, n_features)
